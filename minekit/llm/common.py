@@ -18,7 +18,7 @@ WORD_SQL = r"[^\x20\x09-\x0D]+"
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 #: Rows and bytes of one Arrow batch: long texts must not add up in a Python worker.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 4000, 16 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
