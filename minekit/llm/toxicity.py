@@ -176,8 +176,9 @@ class Lexicon:
         if len(memo) > MEMO:
             memo.clear()
         seen = set(words)
-        for w in seen - memo.keys():
-            memo[w] = self.weight(w)
+        for w in seen:
+            if w not in memo:
+                memo[w] = self.weight(w)
         bad = {w for w in seen if memo[w]}
         if not bad:
             return []
