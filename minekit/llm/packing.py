@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from minekit.llm.common import Scratch, bound_batches, need, table, texts_of
+from minekit.llm.common import Scratch, bound_batches, need, table
 from minekit.llm.token_files import crc32_of_ids
 from minekit.llm.tokens import encoder
 
@@ -160,7 +160,7 @@ def cut(docs: DataFrame, *, capacity: int = CAPACITY, end_id: int = 0, vocabular
         end, step = np.array([end_id], enc.dtype).tobytes(), capacity * enc.width
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), enc.encode(texts_of(batch)), strict=True):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), enc.encode(batch.column("text")), strict=True):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from minekit.llm.common import Scratch, bound_batches, need, partitions, table, texts_of
+from minekit.llm.common import Scratch, bound_batches, need, partitions, table
 from minekit.llm.tokens import encoder
 
 NULL_ID = -(1 << 63)
@@ -64,7 +64,7 @@ def write_token_files(docs: DataFrame, root: str, *, end_id: int, vocabulary: st
                 store.create_dir(top, recursive=True)
                 name = f"part-{context.partitionId():06d}-{uuid.uuid4().hex[:8]}"
                 files = {x: store.open_output_stream(f"{top}/{name}.{x}") for x in ("bin", "off", "doc")}
-            ids = [x + end for x in enc.encode(texts_of(batch))]
+            ids = [x + end for x in enc.encode(batch.column("text"))]
             ends = n_tokens + np.cumsum([len(x) // enc.width for x in ids])
             files["bin"].write(b"".join(ids))
             files["off"].write(np.concatenate([[n_tokens], ends[:-1]]).astype("<i8").tobytes())

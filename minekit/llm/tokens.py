@@ -1,26 +1,29 @@
 """Encode whole texts with a public word BPE, byte for byte as the tokenizers library does.
 
 The vocabulary drops white space and never forms a token across it, so the ids of a
-text are the ids of its space-separated chunks in order.  Each worker keeps the ids
-of chunks it has met (bounded by ``MEMO``); only chunks it has not met go to the
-library.  Texts with special-token strings go to the library whole.
+text are the ids of its space-separated chunks in order.  Arrow splits a batch of
+texts into chunks and finds the distinct ones; the library encodes those, many joined
+by spaces in a call, and ids that end a word show where each chunk ends.  The texts'
+ids are then gathered by chunk.  Nothing is kept from batch to batch.  Texts with
+special-token strings go to the library whole.
 """
 
 from __future__ import annotations
 
 import os
-import unicodedata
+import string
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from minekit.llm.common import WORD
-
-#: Chunks whose ids a worker remembers; beyond it, it forgets all and starts again.
-MEMO = 800_000
-TAIL = ".,;:!?"
-#: Unmet words are joined by spaces, so many a call; ids that end a word show where each ends.
-JOINED = 500
+#: Chunks joined in a call.
+JOINED = 1000
 END_OF_WORD = "</w>"
+#: Words of letters that stay letters when lowered and composed.  The vocabulary's pattern cuts such a
+#: word from a run of ASCII punctuation after it.
+PLAIN = "^[A-Za-zÀ-ÖØ-öø-įı-ſА-яё]+"
+PUNCTUATION = string.punctuation
 
 
 def default_vocabulary() -> str:
@@ -32,71 +35,92 @@ def default_vocabulary() -> str:
 class ChunkEncoder:
     """texts -> little-endian id bytes (two bytes an id where the vocabulary fits, else four)."""
 
-    def __init__(self, path: str | None = None, memo: int = MEMO):
+    def __init__(self, path: str | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path or default_vocabulary())
-        self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.width = 2 if max(vocabulary.values()) < 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        # The same model for plain words, without the steps that leave them as they are.
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.normalizer = normalizers.Lowercase()
+        self.words.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for x, i in vocabulary.items() if x.endswith(END_OF_WORD)]] = True
-        self.memo: dict[str, bytes] = {}
-        self.limit = memo
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [np.array(x.ids, self.dtype).tobytes() for x in encode(texts, add_special_tokens=False)]
-
-    @staticmethod
-    def _parts(chunk: str) -> tuple[str, str]:
-        """A chunk as a plain word and its punctuation, which the vocabulary's pattern splits off; else whole."""
-        core = chunk.rstrip(TAIL)
-        if chunk.isascii():
-            chunk, core = chunk.lower(), core.lower()
-            simple = core.isalnum()
-        else:
-            simple = core.isalpha() and unicodedata.normalize("NFC", core).lower().isalpha()
-        return (core, chunk[len(core) :]) if simple else (chunk, "")
-
-    def _new(self, parts: list[str]) -> dict[str, bytes]:
-        """The ids of parts: words of letters together, the rest one by one."""
-        words = [x for x in parts if x.isalpha()]
-        groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
-        single, out = [x for x in parts if not x.isalpha()], {}
-        for group, ids in zip(groups, self._library([" ".join(x) for x in groups]), strict=True):
-            ends = (np.flatnonzero(self.ends[np.frombuffer(ids, self.dtype)]) + 1) * self.width
-            if len(ends) != len(group):  # not a vocabulary with word ends
-                single += group
-                continue
-            last = 0
-            for x, end in zip(group, ends.tolist(), strict=True):
-                out[x] = ids[last:end]
-                last = end
-        out.update(zip(single, self._library(single), strict=True))
-        return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        memo = self.memo
-        words = [WORD.findall(x) for x in texts]
-        whole = {i for i, x in enumerate(texts) if any(s in x for s in self.special)}
-        if len(memo) > self.limit:
-            memo.clear()
-        known = memo.keys()
-        new = set().union(*(w for i, w in enumerate(words) if i not in whole)) - known
-        if new:
-            parts = {x: self._parts(x) for x in new}
-            todo = list({y for x in parts.values() for y in x if y and y not in memo})
-            memo.update(self._new(todo))
-            for x, (core, tail) in parts.items():
-                memo[x] = memo[core] + (memo[tail] if tail else b"")
-        out = [b"" if i in whole else b"".join(map(memo.__getitem__, w)) for i, w in enumerate(words)]
-        if whole:
-            order = sorted(whole)
-            for i, ids in zip(order, self._library([texts[i] for i in order]), strict=True):
-                out[i] = ids
+    def _library(self, texts: list[str], tokenizer=None) -> list[np.ndarray]:
+        tokenizer = tokenizer or self.tokenizer
+        encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+        return [np.array(x.ids, self.dtype) for x in encode(texts, add_special_tokens=False)]
+
+    def _alone(self, chunks: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+        ids = self._library(chunks)
+        return ids, np.array([len(x) for x in ids], np.int64)
+
+    def _joined(self, words: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+        """The ids of plain words, in order, and how many each has."""
+        made, sizes = [], []
+        for i in range(0, len(words), JOINED):
+            group = words.slice(i, JOINED)
+            text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(group)], pa.int32()), group), " ")[0].as_py()
+            ids = self._library([text], self.words)[0]
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(group):
+                made.append(ids)
+                sizes.append(np.diff(ends, prepend=0))
+            else:  # not a vocabulary with word ends
+                ids, n = self._alone(group.to_pylist())
+                made += ids
+                sizes.append(n)
+        return made, np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+
+    def _chunks(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of the chunks in some order; for each chunk two first places there, and two sizes: word and punctuation."""
+        core = pc.utf8_rtrim(words, PUNCTUATION)
+        plain = np.asarray(pc.match_substring_regex(core, PLAIN + "$"))
+        at, rest = np.flatnonzero(plain), np.flatnonzero(~plain)
+        cores = core.take(pa.array(at)).dictionary_encode()
+        tails = pc.replace_substring_regex(words.take(pa.array(at)), PLAIN, "").dictionary_encode()
+        made, n_cores = self._joined(cores.dictionary)
+        ids, n_tails = self._alone(tails.dictionary.to_pylist())
+        others, n_others = self._alone(words.take(pa.array(rest)).to_pylist())
+        made += ids + others
+        sizes = np.concatenate([n_cores, n_tails, n_others])
+        firsts = np.cumsum(sizes) - sizes
+        piece = np.zeros((len(words), 2), np.int64)
+        piece[at, 0], piece[at, 1] = np.asarray(cores.indices), len(n_cores) + np.asarray(tails.indices)
+        piece[rest, 0] = len(n_cores) + len(n_tails) + np.arange(len(rest))
+        lengths = sizes[piece] if len(sizes) else piece
+        lengths[rest, 1] = 0
+        return np.concatenate(made) if made else np.zeros(0, self.dtype), firsts[piece] if len(sizes) else piece, lengths
+
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """The ids of each text (null as empty)."""
+        texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
+        if not len(texts):
+            return []
+        split = pc.ascii_split_whitespace(texts)
+        ends = np.asarray(split.offsets)
+        # ASCII letters are lowered here, as the vocabulary does, for fewer distinct chunks.
+        coded = pc.ascii_lower(split.values.slice(ends[0], ends[-1] - ends[0])).dictionary_encode()
+        pool, firsts, lengths = self._chunks(coded.dictionary)
+        index = np.asarray(coded.indices)
+        sizes = lengths[index].ravel()
+        until = np.concatenate([[0], np.cumsum(sizes)])
+        take = np.repeat(firsts[index].ravel() - until[:-1], sizes)
+        take += np.arange(len(take))
+        data = pool[take].tobytes()
+        at = until[2 * (ends - ends[0])] * self.width
+        out = [data[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        special = [pc.match_substring(texts, x) for x in self.special]
+        if whole := sorted({int(i) for x in special for i in np.flatnonzero(np.asarray(x))}):
+            for i, x in zip(whole, self._library([texts[i].as_py() for i in whole]), strict=True):
+                out[i] = x.tobytes()
         return out
 
 
@@ -104,7 +128,7 @@ _encoders: dict[str | None, ChunkEncoder] = {}
 
 
 def encoder(path: str | None = None) -> ChunkEncoder:
-    """This worker's encoder; its memo lasts over tasks."""
+    """This worker's encoder."""
     if path not in _encoders:
         _encoders[path] = ChunkEncoder(path)
     return _encoders[path]
