@@ -207,7 +207,10 @@ class Lexicon:
 
     def features(self, text: str) -> tuple[float, float, float]:
         """Logarithms of the hits' summed weights, of the most in one stretch, and of the sum for each 100 words."""
-        hits = self.hits(text)
+        return self.summary(text, self.hits(text))
+
+    @staticmethod
+    def summary(text: str, hits: list[tuple[int, int, float, str]]) -> tuple[float, float, float]:
         if not hits:
             return 0.0, 0.0, 0.0
         total = sum(w for _, _, w, _ in hits)
@@ -296,8 +299,7 @@ class ToxicityModel:
     def __init__(self, lexicon: Lexicon, weights: np.ndarray):
         self.lexicon, self.weights = lexicon, weights
 
-    def score(self, texts: list[str]) -> np.ndarray:
-        x = np.array([self.lexicon.features(t) for t in texts]).reshape(-1, 3)
+    def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:3] + self.weights[3], -30, 30)))
 
 
@@ -362,7 +364,7 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         for batch in batches:
             texts = texts_of(batch)
             hits = [lexicon.hits(t) for t in texts]
-            scores = mine.score(texts)
+            scores = mine.score(np.array([lexicon.summary(t, h) for t, h in zip(texts, hits, strict=True)]).reshape(-1, 3))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(scores), pa.array([len(h) for h in hits], pa.int64()), pa.array([",".join(f"{a}:{b}" for a, b, _, _ in h) for h in hits], pa.string())],
                 names=["doc_id", "score", "n_hits", "spans"],
