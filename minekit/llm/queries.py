@@ -1,11 +1,13 @@
 """The queries of this subpackage and their SQL, for __spark_entry__.py."""
 
-from minekit.llm import near_dup, packing, quality, token_files, toxicity
+from minekit.llm import fingerprints, near_dup, packing, pii, quality, token_files, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op4_near_duplicates": near_dup.op4_near_duplicates,
     "op6_token_files": token_files.op6_token_files,
+    "op5_pii": pii.op5_pii,
+    "op7_fingerprints": fingerprints.op7_fingerprints,
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
