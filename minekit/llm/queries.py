@@ -1,9 +1,11 @@
 """The queries of this subpackage and their SQL, for __spark_entry__.py."""
 
-from minekit.llm import fingerprints, near_dup, packing, pii, quality, token_files, toxicity
+from minekit.llm import fingerprints, mixing, near_dup, packing, pii, quality, token_counts, token_files, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_mixing": mixing.op2_mixing,
+    "op3_token_counts": token_counts.op3_token_counts,
     "op4_near_duplicates": near_dup.op4_near_duplicates,
     "op6_token_files": token_files.op6_token_files,
     "op5_pii": pii.op5_pii,
