@@ -4,8 +4,9 @@
    of 6 minima each, and the low 2 bits of all 288 minima, packed.
 2. Documents of equal sets form a class; only the smallest id of a class goes on.
 3. In each band bucket, every member is paired with one pivot, the member that shares
-   most buckets; buckets whose members are in one component by then need no more.
-4. In the others, members of different components are paired, and only those.
+   most buckets; buckets whose members are in one component by then need no more.  In
+   the others, members outside the largest component are paired with a random node of it.
+4. In those still mixed, all members of different components are paired, and only those.
 5. A pair goes on if its packed bits, corrected for chance agreement, say 0.55 or
    more (the limit is 0.8; nine standard errors lie between).  The full sets decide.
 
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from minekit.llm.common import Scratch, bound_batches, need, table, texts_of
@@ -116,8 +117,23 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     return need(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, bits binary")
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) of nodes that are links: first by packed bits, then on the full sets of the nodes' texts."""
+def full_sets(nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(node, shingles): the whole shingle sets of ``nodes`` (node, digest), from their texts."""
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [shingle_set(t, width) for t in texts_of(batch)]
+            same = [len(x) > 0 and xxhash.xxh3_128_digest(x.tobytes()) == d for x, d in zip(made, batch.column("digest").to_pylist(), strict=True)]
+            out = pa.RecordBatch.from_arrays([batch.column("node"), pa.array([x.tobytes() for x in made], pa.binary())], names=["node", "shingles"])
+            yield out.filter(pa.array(same, pa.bool_()))
+
+    texts = need(docs, "doc_id", "text").withColumnRenamed("doc_id", "node")
+    # A doc_id with several texts gives that text alone whose set its node stands for.
+    return texts.hint("merge").join(nodes.select("node", "digest"), "node").mapInArrow(full, "node long, shingles binary").dropDuplicates(["node"])
+
+
+def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of nodes that are links: first by packed bits, then on full sets."""
     bits = nodes.select("node", "bits")
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,21 +147,7 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int,
         pairs.join(bits.select(F.col("node").alias("a"), F.col("bits").alias("bits_a")), "a")
         .join(bits.select(F.col("node").alias("b"), F.col("bits").alias("bits_b")), "b")
     )
-    near = scratch.write(with_bits.select("a", "b", "bits_a", "bits_b").mapInArrow(likely, "a long, b long"), "near")
-
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [shingle_set(t, width) for t in texts_of(batch)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in made], pa.binary()), pa.array([x.tobytes() for x in made], pa.binary())],
-                names=["node", "digest", "shingles"],
-            )
-
-    wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = need(docs, "doc_id", "text").withColumnRenamed("doc_id", "node").join(wanted, "node")
-    # A doc_id with several texts is here with that text alone whose set its node stands for.
-    sets = texts.mapInArrow(full, "node long, digest binary, shingles binary").join(nodes.select("node", "digest"), ["node", "digest"])
-    sets = scratch.write(sets.select("node", "shingles").dropDuplicates(["node"]), "sets")
+    near = with_bits.select("a", "b", "bits_a", "bits_b").mapInArrow(likely, "a long, b long")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,9 +162,11 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int,
         near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a")
         .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
     )
-    links = scratch.write(with_sets.select("a", "b", "set_a", "set_b").mapInArrow(linked, "a long, b long"), "links")
-    scratch.drop(near, sets)
-    return links
+    return scratch.write(with_sets.select("a", "b", "set_a", "set_b").mapInArrow(linked, "a long, b long"), "links")
+
+
+def _ordered(x: str, y: str) -> list:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5) -> DataFrame:
@@ -182,27 +186,40 @@ def near_duplicates(docs: DataFrame, *, width: int = 5) -> DataFrame:
     weights = members.groupBy("node").agg(F.sum("size").alias("weight"))
     weighed = members.join(weights, "node").select("key", "node", "weight")
     pivots = weighed.groupBy("key").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("pivot"))
-    first = members.join(pivots, "key").filter("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-    tested = scratch.write(first.distinct(), "pairs")
-    links = _confirmed(tested, nodes, docs, width, scratch)
+    sets = scratch.write(full_sets(nodes.join(members.select("node").distinct(), "node"), docs, width), "sets")
+    first = scratch.write(members.join(pivots, "key").filter("node <> pivot").select(*_ordered("node", "pivot")).distinct(), "first")
+    links = _confirmed(first, nodes, sets, scratch)
     # Rows of one doc_id in several classes join them.
     own = usable.select("doc_id", "digest").join(classes, "digest").select("doc_id", "node")
-    several = own.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
-    links = links.unionByName(several.filter("a <> b").select("a", "b")).unionByName(several.filter("doc_id <> a and a <> b").select(F.col("doc_id").alias("a"), "b"))
-    found = components(links, scratch)
-
-    # Buckets that still hold several components: pairs across components, by (key, component), never within one.
-    placed = members.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    placed = scratch.write(placed.join(mixed, "key"), "mixed")
+    several = own.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b")
+    several = several.select(F.explode(F.array("a", "b")).alias("a"), F.col("doc_id").alias("b"))
+    found = components(links.unionByName(several), scratch)
+
+    def mixed(of: DataFrame, name: str) -> DataFrame:
+        """(key, node, root) of the buckets of ``of`` whose members are in several components."""
+        placed = of.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        several_roots = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+        return scratch.write(placed.join(several_roots.select("key"), "key"), name)
+
+    # A second pivot for each of those, another in each bucket: a random node of the bucket's largest component.
+    placed = mixed(members, "mixed")
+    by_root = placed.groupBy("key", "root").agg(F.count("*").alias("size"), F.min_by("node", F.xxhash64("key", "node")).alias("pivot"))
+    seconds = by_root.groupBy("key").agg(F.max_by(F.struct("root", "pivot"), F.struct("size", -F.col("root"))).alias("most"))
+    second = placed.join(seconds, "key").filter("root <> most.root").select(*_ordered("node", "most.pivot")).distinct()
+    second = scratch.write(second.join(first, ["a", "b"], "left_anti"), "second")
+    more = _confirmed(second, nodes, sets, scratch)
+    found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), scratch)
+
+    # What is left: all pairs across components of a bucket, by (key, component), never within one.
+    placed = mixed(placed, "left")
     parts = placed.select("key", "root").distinct()
     across = parts.join(parts.select("key", F.col("root").alias("other")), "key").filter("root < other")
     pairs = (
         across.join(placed.select("key", "root", F.col("node").alias("x")), ["key", "root"])
         .join(placed.select("key", F.col("root").alias("other"), F.col("node").alias("y")), ["key", "other"])
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+        .select(*_ordered("x", "y")).distinct().join(first.unionByName(second), ["a", "b"], "left_anti")
     )
-    more = _confirmed(scratch.write(pairs, "across"), nodes, docs, width, scratch)
+    more = _confirmed(pairs, nodes, sets, scratch)
     found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), scratch)
 
     rows = made.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
@@ -213,6 +230,17 @@ def near_duplicates(docs: DataFrame, *, width: int = 5) -> DataFrame:
     )
 
 
+def keep_one_of_each(docs: DataFrame, *, width: int = 5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose document is the smallest id of its component.
+
+    Of several rows with one such doc_id the first by text stays; rows of a null doc_id all stay.
+    """
+    kept = near_duplicates(docs, width=width).filter("kept and doc_id is not null").select("doc_id").distinct()
+    order = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    first = docs.join(kept, "doc_id", "left_semi").withColumn("__row", F.row_number().over(order)).filter("__row = 1")
+    return first.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents at 2-word shingle similarity of 0.8 or more."""
     return near_duplicates(table(spark, sf_dir, "documents"), width=2)

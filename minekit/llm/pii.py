@@ -269,8 +269,11 @@ def sanitise(docs: DataFrame) -> DataFrame:
             [t if t is None else clean(t, base_spans(t) + [("term", p["start"], p["end"]) for p in (e if e is not None else ())]) for t, e in zip(texts, extras, strict=True)], dtype=object
         )
 
-    joined_rows = _joined_extra(docs.withColumn("digest", digest("text")), extra)
-    return joined_rows.withColumn("text", cleaned("text", "extra")).select(
+    extra = extra.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__its_digest"), F.col("extra").alias("__extra"))
+    rows = docs.withColumn("__digest", digest("text")).join(
+        extra, (F.col("doc_id") == F.col("__id")) & (F.col("__digest") == F.col("__its_digest")), "left"
+    )
+    return rows.withColumn("text", cleaned("text", "__extra")).select(
         *[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     )
 
