@@ -6,9 +6,10 @@
 3. In each band bucket, every member is paired with one pivot, the member that shares
    most buckets; buckets whose members are in one component by then need no more.  In
    the others, members outside the largest component are paired with a random node of it.
-4. In those still mixed, all members of different components are paired, and only those.
-5. A pair goes on if its packed bits, corrected for chance agreement, say 0.55 or
-   more (the limit is 0.8; nine standard errors lie between).  The full sets decide.
+4. In those still mixed, nodes in no component are paired with each other, and nodes
+   with the members of another component that holds enough of their shingles, by blocks.
+5. A pair goes on if its packed bits, corrected for chance agreement, say 0.66 or
+   more (the limit is 0.8; five standard errors lie between).  The full sets decide.
 
 Two documents at similarity 0.8 miss every band with probability below 1e-6.
 
@@ -25,16 +26,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from minekit.llm.common import Scratch, bound_batches, need, table, texts_of
 from minekit.llm.components import components
 
+IN_BLOCK = 1 << 14
 BANDS, ROWS, BITS = 48, 6, 2
 HASHES = BANDS * ROWS
 #: The share of links that is asked for, in percent, and what packed bits must say at least.
-PERCENT, ESTIMATE = 80, 0.55
+PERCENT, ESTIMATE = 80, 0.66
 
 _rng = np.random.default_rng(20_240_229)
 _A = _rng.integers(0, 1 << 31, HASHES, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -78,24 +80,27 @@ def band_keys(minima: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def packed_bits(minima: np.ndarray) -> bytes:
-    """2 bits of each minimum, in 32-bit words of 16."""
-    low = ((minima * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS)).reshape(-1, 16)
-    return np.bitwise_or.reduce(low << (np.arange(16, dtype=np.uint32) * np.uint32(BITS)), axis=1).astype("<u4").tobytes()
+def packed_bits(minima: np.ndarray) -> np.ndarray:
+    """2 bits of each minimum, in 64-bit words of 32."""
+    low = ((minima * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS)).astype(np.uint64).reshape(-1, 32)
+    return np.bitwise_or.reduce(low << (np.arange(32, dtype=np.uint64) * np.uint64(BITS)), axis=1).view(np.int64)
 
 
-def estimated(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Similarity of rows of packed words from agreeing positions, less chance agreement."""
-    differ = a ^ b
-    wrong = np.bitwise_count((differ | (differ >> np.uint32(1))) & np.uint32(0x55555555)).sum(1)
+def estimated(a: str, b: str) -> Column:
+    """Similarity from two columns of packed words: agreeing positions by bit counts, less chance agreement."""
+    wrong = F.lit(0)
+    for k in range(HASHES * BITS // 64):
+        differ = F.col(a)[k].bitwiseXOR(F.col(b)[k])
+        either = differ.bitwiseOR(F.shiftrightunsigned(differ, 1)).bitwiseAND(F.lit(0x5555555555555555))
+        wrong = wrong + F.bit_count(either)
     chance = 0.5**BITS
-    return ((HASHES - wrong) / HASHES - chance) / (1 - chance)
+    return ((HASHES - wrong) / F.lit(float(HASHES)) - chance) / (1 - chance)
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, digest of the set (null if empty), bands, bits."""
     bound_batches(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("bits", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,7 +119,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                 [batch.column("doc_id"), *(pa.array(x, f.type) for x, f in zip((sizes, digests, bands, bits), list(schema)[1:], strict=True))], schema=schema
             )
 
-    return need(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, bits binary")
+    return need(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, bits array<long>")
 
 
 def full_sets(nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
@@ -135,19 +140,11 @@ def full_sets(nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
 def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of nodes that are links: first by packed bits, then on full sets."""
     bits = nodes.select("node", "bits")
-
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(batch.num_rows, -1) for c in ("bits_a", "bits_b"))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(estimated(x, y) >= ESTIMATE))
-
-    with_bits = (
+    near = (
         pairs.join(bits.select(F.col("node").alias("a"), F.col("bits").alias("bits_a")), "a")
         .join(bits.select(F.col("node").alias("b"), F.col("bits").alias("bits_b")), "b")
+        .filter(estimated("bits_a", "bits_b") >= ESTIMATE).select("a", "b")
     )
-    near = with_bits.select("a", "b", "bits_a", "bits_b").mapInArrow(likely, "a long, b long")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,6 +162,84 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, scratch: Scr
     return scratch.write(with_sets.select("a", "b", "set_a", "set_b").mapInArrow(linked, "a long, b long"), "links")
 
 
+def _shingle_rows(sets: DataFrame) -> DataFrame:
+    """(node, shingle, size) of every shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("shingles")]
+            sizes = [len(x) for x in made]
+            if sum(sizes):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(batch.column("node").to_numpy(), sizes)), pa.array(np.concatenate(made)), pa.array(np.repeat(np.array(sizes, np.int64), sizes))],
+                    names=["node", "shingle", "size"],
+                )
+
+    return sets.mapInArrow(run, "node long, shingle long, size long")
+
+
+def _reaching(facing: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, other, held, size): a node and a component that may be linked, with the node's shingles in the union, and all.
+
+    A link of node x to a member y needs |x and y| >= (|x| + |y|) * s / (1 + s).  The
+    shingles of x in the union of the component's sets bound the left side, its smallest
+    set the right.  The cost is linear in nodes and shingles, not in members.
+    """
+    of_root = found.join(facing.select(F.col("other").alias("root")).distinct(), "root").select("node", "root")
+    union = _shingle_rows(sets.join(of_root.select("node"), "node")).join(of_root, "node")
+    least = union.groupBy("root").agg(F.min("size").alias("least"))
+    union = union.select(F.col("root").alias("other"), "shingle").distinct()
+    own = _shingle_rows(sets.join(facing.select("node").distinct(), "node")).join(facing, "node")
+    held = own.join(union, ["other", "shingle"]).groupBy("node", "other").agg(F.count("*").alias("held"), F.max("size").alias("size"))
+    enough = (100 + PERCENT) * F.col("held") >= PERCENT * (F.col("size") + F.col("least"))
+    return held.join(least.withColumnRenamed("root", "other"), "other").filter(enough).select("node", "other", "held", "size")
+
+
+def _linked_to_members(reach: DataFrame, found: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) of nodes to members of the components that they may reach.
+
+    The members' sets are held in blocks of about ``IN_BLOCK`` shingles; a node meets
+    each block in one row, and only links come out.
+    """
+    members = found.join(reach.select(F.col("other").alias("root")).distinct(), "root").join(nodes.select("node", "n"), "node")
+    blocks = members.groupBy("root").agg(F.ceil(F.sum("n") / IN_BLOCK).alias("blocks"))
+    placed = members.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).join(sets, "node")
+    held = placed.groupBy(F.col("root").alias("other"), "block").agg(F.collect_list(F.struct("node", "shingles")).alias("members"))
+    asked = reach.select("node", "other").join(blocks.withColumnRenamed("root", "other"), "other")
+    asked = asked.select("node", "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")).join(sets, "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for node, own, members_ in zip(batch.column("node").to_pylist(), batch.column("shingles"), batch.column("members"), strict=True):
+                x = np.frombuffer(own.as_buffer(), np.uint64)
+                ids = members_.values.field("node").to_numpy()
+                each = [np.frombuffer(y.as_buffer(), np.uint64) for y in members_.values.field("shingles")]
+                sizes = np.array([len(y) for y in each])
+                both = np.add.reduceat(np.isin(np.concatenate(each), x), np.cumsum(sizes) - sizes, dtype=np.int64)
+                linked = ids[100 * both >= PERCENT * (len(x) + sizes - both)]
+                a += [node] * len(linked)
+                b += linked.tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return asked.join(held, ["other", "block"]).select("node", "shingles", "members").mapInArrow(run, "a long, b long")
+
+
+def _crowded(alone: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of (key, node, n) nodes, those that may be linked with another one of them that shares a key.
+
+    A node's shingles that any other of the nodes has bound what it shares with one.
+    """
+    least = alone.groupBy("key").agg(F.min("n").alias("low"), F.count("*").alias("c")).filter("c > 1")
+    facing = alone.join(least, "key").groupBy("node").agg(F.min("low").alias("low"))
+    rows = _shingle_rows(sets.join(facing.select("node"), "node"))
+    common = rows.groupBy("shingle").agg(F.count("*").alias("c")).filter("c > 1").select("shingle")
+    held = rows.join(common, "shingle", "left_semi").groupBy("node").agg(F.count("*").alias("held"), F.max("size").alias("size"))
+    smallest = F.greatest(F.col("low").cast("double"), F.col("size") * PERCENT / 100.0)
+    enough = (100 + PERCENT) * F.col("held") >= PERCENT * (F.col("size") + smallest) - 1e-6
+    return alone.select("key", "node").join(held.join(facing, "node").filter(enough).select("node"), "node", "left_semi")
+
+
 def _ordered(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
@@ -177,7 +252,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5) -> DataFrame:
     usable = made.filter("doc_id is not null and digest is not null")
     classes = scratch.write(usable.groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
     nodes = scratch.write(
-        usable.select(F.col("doc_id").alias("node"), "digest", "bands", "bits").join(classes, ["node", "digest"]).dropDuplicates(["node", "digest"]), "nodes"
+        usable.select(F.col("doc_id").alias("node"), "digest", "bands", "bits", F.col("n_shingles").alias("n")).join(classes, ["node", "digest"]).dropDuplicates(["node", "digest"]), "nodes"
     )
     # Buckets of two nodes at least, and the pivot of each: the node that meets most others over all its buckets.
     keyed = nodes.select("node", F.explode("bands").alias("key"))
@@ -210,16 +285,22 @@ def near_duplicates(docs: DataFrame, *, width: int = 5) -> DataFrame:
     more = _confirmed(second, nodes, sets, scratch)
     found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), scratch)
 
-    # What is left: all pairs across components of a bucket, by (key, component), never within one.
+    # What is left, first: nodes that are alone, with each other.
     placed = mixed(placed, "left")
-    parts = placed.select("key", "root").distinct()
-    across = parts.join(parts.select("key", F.col("root").alias("other")), "key").filter("root < other")
-    pairs = (
-        across.join(placed.select("key", "root", F.col("node").alias("x")), ["key", "root"])
-        .join(placed.select("key", F.col("root").alias("other"), F.col("node").alias("y")), ["key", "other"])
-        .select(*_ordered("x", "y")).distinct().join(first.unionByName(second), ["a", "b"], "left_anti")
-    )
-    more = _confirmed(pairs, nodes, sets, scratch)
+    roots = found.groupBy("root").agg(F.count("*").alias("members"))
+    placed = scratch.write(placed.join(roots, "root", "left").select("key", "node", "root", F.coalesce("members", F.lit(1)).alias("members")), "sized")
+    alone = _crowded(placed.filter("members = 1").select("key", "node").join(nodes.select("node", "n"), "node"), sets)
+    alone = alone.join(nodes.select("node", "bits"), "node")
+    left, right = (alone.select("key", F.col("node").alias(x), F.col("bits").alias(f"bits_{x}")) for x in ("a", "b"))
+    near = estimated("bits_a", "bits_b") >= ESTIMATE
+    singles = left.join(right, "key").filter(F.col("a") < F.col("b")).filter(near).select("a", "b").distinct()
+    # Second: nodes with the members of another component, if its union of shingles holds enough of theirs.
+    parts = placed.filter("members > 1").select("key", F.col("root").alias("other")).distinct()
+    facing = placed.join(parts, "key").filter("root <> other and (members = 1 or root > other)").select("node", "other").distinct()
+    reach = scratch.write(_reaching(facing, found, sets), "reach")
+    pairs = singles.join(first.unionByName(second), ["a", "b"], "left_anti")
+    across = scratch.write(_linked_to_members(reach, found, nodes, sets), "across")
+    more = _confirmed(pairs, nodes, sets, scratch).unionByName(across)
     found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), scratch)
 
     rows = made.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
