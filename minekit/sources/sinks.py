@@ -39,9 +39,9 @@ def itemset_report(candidates: DataFrame, frequent: DataFrame) -> DataFrame:
     return section(candidates, "Candidates:", 0).unionByName(section(frequent, "Frequent Itemsets:", 1_000_000)).orderBy("n")
 
 
-def community_report(members: DataFrame) -> DataFrame:
-    """(n, line): 'a', 'b' lines from (node, community), by size, then first member."""
-    lists = members.groupBy("community").agg(F.array_sort(F.collect_list(F.col("node").cast("string"))).alias("m"))
+def community_report(members: DataFrame, community: str = "component") -> DataFrame:
+    """(size, line): 'a', 'b' lines of each community's nodes, by size, then first member."""
+    lists = members.groupBy(community).agg(F.array_sort(F.collect_list(F.col("node").cast("string"))).alias("m"))
     return lists.select(F.size("m").alias("size"), F.array_join(F.transform("m", _quoted), ", ").alias("line")).orderBy("size", "line").select("size", "line")
 
 
