@@ -121,7 +121,7 @@ def shard_counts(made: DataFrame) -> DataFrame:
 def plan(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
     """Every document's places in the mix, the sources with targets, and the number of sources.
 
-    Columns: doc_id, digest, s, source, size, start, taken, first_shard, and parts: the
+    Columns: doc_id, digest, s, source, size, start, taken, first_shard (-1: none), and parts: the
     stretches (from word, words, times taken) of its blocks.
     """
     sized = need(docs, "doc_id", "source", "text").select(
@@ -138,7 +138,8 @@ def plan(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
         words.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor((end - 1) / BLOCK))))
         .withColumn("from", F.greatest("start", block * BLOCK) - F.col("start"))
         .withColumn("n", F.least(end, (block + 1) * BLOCK) - F.greatest("start", block * BLOCK))
-        .join(times, ["s", "block"])
+        # The planner takes unfolded rows for as few as the sources, and would broadcast them all.
+        .join(times.hint("merge"), ["s", "block"])
     )
     found = cut.groupBy("doc_id", "digest", "s", "source", "size", "start").agg(
         F.sum(F.col("n") * F.col("times")).alias("taken"), F.min("shard").alias("first_shard"),
@@ -146,7 +147,7 @@ def plan(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
     )
     # Documents of which nothing is taken: by their place in the source, which is theirs alone.
     rest = words.join(found.select("s", "start", "size"), ["s", "start", "size"], "left_anti")
-    nothing = [F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_shard"), F.array().cast("array<struct<from:bigint,n:bigint,times:bigint>>").alias("parts")]
+    nothing = [F.lit(0).cast("long").alias("taken"), F.lit(-1).cast("long").alias("first_shard"), F.array().cast("array<struct<from:bigint,n:bigint,times:bigint>>").alias("parts")]
     columns = ["doc_id", "digest", "s", "source", "size", "start"]
     empty = sized.filter("size = 0").select("doc_id", "digest", "s", "source", "size", F.lit(0).cast("long").alias("start"))
     return found.unionByName(rest.select(*columns, *nothing)).unionByName(empty.select(*columns, *nothing)), sources, n_sources
