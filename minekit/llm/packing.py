@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from minekit.llm.common import Scratch, bound_batches, need, table
+from minekit.llm.common import BATCH_ROWS, Scratch, bound_batches, need, table
 from minekit.llm.token_files import crc32_of_ids
 from minekit.llm.tokens import encoder
 
@@ -152,7 +152,7 @@ def runs(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
 
 def cut(docs: DataFrame, *, capacity: int = CAPACITY, end_id: int = 0, vocabulary: str | None = None) -> DataFrame:
     """Encode whole texts and cut what is longer than ``capacity``: a row for each piece, without its ids."""
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, 2 * BATCH_ROWS)
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

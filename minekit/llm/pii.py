@@ -36,7 +36,7 @@ NEAR = 8
 #: Distinct contexts of an entity with a term, share of the term's documents, and bits of information, at least.
 SUPPORT, SHARE, BITS = 3, 0.5, 6.0
 #: Distinct terms that a task counts before it hands them on.
-FLUSH = 300_000
+FLUSH = 200_000
 
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -168,8 +168,8 @@ def _documents_with(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for text in texts_of(batch):
                 counts.update(set(WORD.findall(text)))
-            if len(counts) > FLUSH:
-                yield out()
+                if len(counts) > FLUSH:
+                    yield out()
         yield out()
 
     return docs.mapInArrow(run, "term string, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))

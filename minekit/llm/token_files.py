@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from minekit.llm.common import Scratch, bound_batches, need, partitions, table
+from minekit.llm.common import BATCH_ROWS, Scratch, bound_batches, need, partitions, table
 from minekit.llm.tokens import encoder
 
 NULL_ID = -(1 << 63)
@@ -48,7 +48,7 @@ def crc32_of_ids(ids: bytes, width: int) -> int:
 def write_token_files(docs: DataFrame, root: str, *, end_id: int, vocabulary: str | None = None) -> list[dict]:
     """Encode ``docs`` (doc_id, text) into files under ``root``; the part table with bases, in order."""
     spark = docs.sparkSession
-    bound_batches(spark)
+    bound_batches(spark, 2 * BATCH_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

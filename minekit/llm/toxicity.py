@@ -35,14 +35,16 @@ from minekit.llm.stats import labelled_sample, remainder
 #: Labelled rows to learn from, lexicon terms, and letters of a stem, at most.
 SAMPLE, TERMS, STEM = 40_000, 400, 8
 #: A term's toxic documents at least, how many times likelier it is there, and its documents times the logarithm of that.
-SUPPORT, LIFT, EVIDENCE = 4, 4.0, 10.0
+SUPPORT, LIFT, EVIDENCE = 4, 4.0, 15.0
 #: A whole word of this weight, and of so many letters, may be misspelled by one edit; stems allow any ending.
 FUZZY_WEIGHT, FUZZY_LETTERS = 0.9, 5
 #: Words on each side of a hit that set its weight.
 WINDOW = 8
 EXACT, FUZZY, QUOTED, ADDRESSED = 1.0, 0.7, 0.25, 1.5
+#: Terms that a task counts before it hands them on.
+FLUSH = 200_000
 #: A worker forgets the words it has judged beyond so many.
-MEMO = 500_000
+MEMO = 300_000
 
 OPENING, CLOSING = "\"“„«‘‹", "\"”“»’›"
 REPORTING = {"said", "says", "wrote", "writes", "called", "quote", "quoted", "quotes", "word", "term", "dit", "écrit", "sagte", "schrieb", "dijo", "escribió"}
@@ -263,8 +265,8 @@ def _term_counts(sample: DataFrame) -> DataFrame:
                 terms = {w + "$" for w in words if 3 <= len(w) <= 32}
                 terms.update(w[:k] for w in words for k in range(4, min(STEM, len(w)) + 1))
                 counts[label == 1].update(terms)
-            if len(counts[False]) + len(counts[True]) > 400_000:
-                yield out()
+                if len(counts[False]) + len(counts[True]) > FLUSH:
+                    yield out()
         yield out()
 
     return sample.mapInArrow(run, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
@@ -318,11 +320,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, keep_row: Column | None
     bound_batches(docs.sparkSession)
     rows = labelled_sample(docs, labels, "toxic", sample, keep_row=keep_row)
     scratch = Scratch(docs.sparkSession, "toxicity")
+    rows = scratch.write(rows, "rows")  # ``sample`` rows at most
     one = scratch.write(_one_of_each(rows), "one")
     counts = _term_counts(one)
     sizes = {bool(x["toxic"] == 1): x["n"] for x in one.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     top = counts.filter(F.col("toxic") >= SUPPORT).orderBy(F.desc(F.col("toxic") * F.log((F.col("toxic") + 0.5) / (F.col("other") + 0.5) * 1e3)), "term")
-    known = {x["term"]: (x["toxic"], x["other"]) for x in top.limit(100 * TERMS).collect()}
+    known = {x["term"]: (x["toxic"], x["other"]) for x in top.limit(20 * TERMS).collect()}
     terms = choose_terms(known, sizes.get(True, 0), sizes.get(False, 0))
     draft = Lexicon(terms)
 
