@@ -18,12 +18,12 @@ WORD_SQL = r"[^\x20\x09-\x0D]+"
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 #: Rows and bytes of one Arrow batch: long texts must not add up in a Python worker.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
-def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+def bound_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small; called by every operator that hands texts to Python."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 

@@ -17,8 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks joined in a call.
-JOINED = 1000
+#: Chunks joined in a call, and words of texts gathered at a time.
+JOINED, GATHERED = 1000, 200_000
 END_OF_WORD = "</w>"
 #: Words of letters that stay letters when lowered and composed.  The vocabulary's pattern cuts such a
 #: word from a run of ASCII punctuation after it.
@@ -99,6 +99,16 @@ class ChunkEncoder:
         lengths[rest, 1] = 0
         return np.concatenate(made) if made else np.zeros(0, self.dtype), firsts[piece] if len(sizes) else piece, lengths
 
+    def _gathered(self, pool: np.ndarray, firsts: np.ndarray, lengths: np.ndarray, index: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The ids of texts whose words are ``index``, up to each of ``ends``."""
+        sizes = lengths[index].ravel()
+        until = np.concatenate([[0], np.cumsum(sizes)])
+        take = np.repeat(firsts[index].ravel() - until[:-1], sizes)
+        take += np.arange(len(take))
+        data = pool[take].tobytes()
+        at = until[2 * ends] * self.width
+        return [data[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
     def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
         """The ids of each text (null as empty)."""
         texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
@@ -109,14 +119,14 @@ class ChunkEncoder:
         # ASCII letters are lowered here, as the vocabulary does, for fewer distinct chunks.
         coded = pc.ascii_lower(split.values.slice(ends[0], ends[-1] - ends[0])).dictionary_encode()
         pool, firsts, lengths = self._chunks(coded.dictionary)
-        index = np.asarray(coded.indices)
-        sizes = lengths[index].ravel()
-        until = np.concatenate([[0], np.cumsum(sizes)])
-        take = np.repeat(firsts[index].ravel() - until[:-1], sizes)
-        take += np.arange(len(take))
-        data = pool[take].tobytes()
-        at = until[2 * (ends - ends[0])] * self.width
-        out = [data[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        index, ends = np.asarray(coded.indices), ends - ends[0]
+        # Some words at a time, so that the gathering takes little memory.
+        out: list[bytes] = []
+        low = 0
+        while low < len(texts):
+            high = max(low + 1, int(np.searchsorted(ends, ends[low] + GATHERED, "right")) - 1)
+            out += self._gathered(pool, firsts, lengths, index[ends[low] : ends[high]], ends[low : high + 1] - ends[low])
+            low = high
         special = [pc.match_substring(texts, x) for x in self.special]
         if whole := sorted({int(i) for x in special for i in np.flatnonzero(np.asarray(x))}):
             for i, x in zip(whole, self._library([texts[i].as_py() for i in whole]), strict=True):
