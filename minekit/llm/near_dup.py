@@ -6,8 +6,9 @@
 3. In each band bucket, every member is paired with one pivot, the member that shares
    most buckets; buckets whose members are in one component by then need no more.  In
    the others, members outside the largest component are paired with a random node of it.
-4. In those still mixed, nodes in no component are paired with each other, and nodes
-   with the members of another component that holds enough of their shingles, by blocks.
+4. In those still mixed, nodes in no component or in one of two are paired with each
+   other, and nodes with the members (root included) of another, larger component that
+   holds enough of their shingles, by blocks.
 5. A pair goes on if its packed bits, corrected for chance agreement, say 0.66 or
    more (the limit is 0.8; five standard errors lie between).  The full sets decide.
 
@@ -285,21 +286,23 @@ def near_duplicates(docs: DataFrame, *, width: int = 5) -> DataFrame:
     more = _confirmed(second, nodes, sets, scratch)
     found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), scratch)
 
-    # What is left, first: nodes that are alone, with each other.
+    # What is left, first: nodes that are alone or in a pair, with each other.
     placed = mixed(placed, "left")
-    roots = found.groupBy("root").agg(F.count("*").alias("members"))
+    # ``components`` gives no row of a root itself, which is a member like the others.
+    whole = scratch.write(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()), "whole")
+    roots = whole.groupBy("root").agg(F.count("*").alias("members"))
     placed = scratch.write(placed.join(roots, "root", "left").select("key", "node", "root", F.coalesce("members", F.lit(1)).alias("members")), "sized")
-    alone = _crowded(placed.filter("members = 1").select("key", "node").join(nodes.select("node", "n"), "node"), sets)
+    alone = _crowded(placed.filter("members <= 2").select("key", "node").join(nodes.select("node", "n"), "node"), sets)
     alone = alone.join(nodes.select("node", "bits"), "node")
     left, right = (alone.select("key", F.col("node").alias(x), F.col("bits").alias(f"bits_{x}")) for x in ("a", "b"))
     near = estimated("bits_a", "bits_b") >= ESTIMATE
     singles = left.join(right, "key").filter(F.col("a") < F.col("b")).filter(near).select("a", "b").distinct()
     # Second: nodes with the members of another component, if its union of shingles holds enough of theirs.
-    parts = placed.filter("members > 1").select("key", F.col("root").alias("other")).distinct()
-    facing = placed.join(parts, "key").filter("root <> other and (members = 1 or root > other)").select("node", "other").distinct()
-    reach = scratch.write(_reaching(facing, found, sets), "reach")
+    parts = placed.filter("members > 2").select("key", F.col("root").alias("other")).distinct()
+    facing = placed.join(parts, "key").filter("root <> other and (members <= 2 or root > other)").select("node", "other").distinct()
+    reach = scratch.write(_reaching(facing, whole, sets), "reach")
     pairs = singles.join(first.unionByName(second), ["a", "b"], "left_anti")
-    across = scratch.write(_linked_to_members(reach, found, nodes, sets), "across")
+    across = scratch.write(_linked_to_members(reach, whole, nodes, sets), "across")
     more = _confirmed(pairs, nodes, sets, scratch).unionByName(across)
     found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), scratch)
 

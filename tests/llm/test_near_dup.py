@@ -57,6 +57,19 @@ def test_components_equal_brute_force(documents, width):
     assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
 
 
+@pytest.mark.parametrize("tails", [1, 3])
+def test_links_with_the_smallest_id_of_a_crowded_group(documents, tails):
+    """A crowd of near copies, and a text (or a component of three) that links with the crowd's smallest id alone."""
+    rows = []
+    for at, seed in enumerate((5, 23, 35, 37)):
+        common = [f"c{seed}x{k}" for k in range(100)]
+        least = [*common, f"z{seed}"]
+        crowd = [least, common, *([*common, f"m{seed}x{k}"] for k in range(60))]
+        rows += [(at * 1000 + k + 1, " ".join(words)) for k, words in enumerate([*crowd, *(least[-81 + k :] for k in range(tails))])]
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(documents(rows), width=2).collect()}
+    assert got == {i: root for i, (_, root) in brute(rows, 2).items()} and set(got.values()) == {1, 1001, 2001, 3001}
+
+
 def test_edge_cases(edge_cases):
     got = near_dup.near_duplicates(edge_cases, width=2).collect()
     by = {r["doc_id"]: r for r in got}
