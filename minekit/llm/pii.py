@@ -4,7 +4,7 @@ Protected entities are the values that the patterns find.  Terms near them are c
 over the corpus by (entity, term); a term discloses an entity where, given the term,
 the entity is far likelier than it is anyway: log2(P(entity | term) / P(entity)) and
 P(entity | term) both exceed thresholds, on at least ``SUPPORT`` distinct contexts.
-P(. | term) is over all documents that hold the term, near an entity or not.  Such
+P(. | term) is over all distinct texts that hold the term in any written form, near an entity or not.  Such
 terms are spans of kind ``term`` wherever they stand near the entity, and are
 generalised (to a word shape) in sanitised texts; base values become their kind.
 
@@ -23,6 +23,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -35,8 +36,10 @@ KINDS = ("email", "ip", "card", "phone")
 NEAR = 8
 #: Distinct contexts of an entity with a term, share of the term's documents, and bits of information, at least.
 SUPPORT, SHARE, BITS = 3, 0.5, 6.0
-#: Distinct terms that a task counts before it hands them on.
+#: Written forms whose terms a task remembers, and rows that it hands on at once.
 FLUSH = 200_000
+#: Bits of the map of the terms that may disclose.
+MARKS = 1 << 22
 
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -151,38 +154,69 @@ def _near_terms(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, ", ".join(f"`{n}` {'string' if n == 'term' else 'long'}" for n, _ in NEAR_COLUMNS))
 
 
-def _documents_with(docs: DataFrame) -> DataFrame:
-    """(term, docs): documents that hold each term, summed in each task before the shuffle."""
+def _mark(term: str) -> int:
+    return xxhash.xxh3_64_intdigest(term) % MARKS
+
+
+def _marks(terms: DataFrame) -> bytes:
+    """A bitmap of ``MARKS`` bits, set where a term of ``terms`` (term) falls: of one size for any number of terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        held = np.zeros(MARKS, np.bool_)
+        for batch in batches:
+            held[[_mark(t) for t in batch.column("term").to_pylist()]] = True
+        at = np.flatnonzero(held)
+        for k in range(0, len(at), FLUSH):
+            yield pa.RecordBatch.from_arrays([pa.array(at[k : k + FLUSH], pa.int64())], names=["mark"])
+
+    out = np.zeros(MARKS, np.bool_)
+    found = terms.mapInArrow(run, "mark long").distinct()
+    out[[r["mark"] for r in found.toLocalIterator()]] = True
+    return np.packbits(out).tobytes()
 
-        def out() -> pa.RecordBatch:
-            terms = Counter()
-            for w, n in counts.items():
-                if t := term_of(w):
-                    terms[t] += n
-            counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(terms), pa.string()), pa.array(list(terms.values()), pa.int64())], names=["term", "docs"])
 
+def _documents_with(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, docs): the distinct texts that hold each of ``terms`` (term), in any of its written forms.
+
+    The tasks hand on terms whose bit is set alone; the join leaves out those that share a bit.
+    """
+    marks = _marks(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.unpackbits(np.frombuffer(marks, np.uint8)).astype(np.bool_)
+        known: dict[str, str] = {}
         for batch in batches:
+            found, digests = [], []
             for text in texts_of(batch):
-                counts.update(set(WORD.findall(text)))
-                if len(counts) > FLUSH:
-                    yield out()
-        yield out()
-
-    return docs.mapInArrow(run, "term string, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
+                own = set()
+                for w in set(WORD.findall(text)):
+                    t = known.get(w)
+                    if t is None:
+                        if len(known) > FLUSH:
+                            known.clear()
+                        t = term_of(w)
+                        t = known[w] = t if t and held[_mark(t)] else ""
+                    if t:
+                        own.add(t)
+                found += own
+                digests += [_digest(text)] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(digests, pa.int64())], names=["term", "digest"])
+
+    held = docs.mapInArrow(run, "term string, digest long").join(terms, "term", "left_semi").distinct()
+    return held.groupBy("term").agg(F.count("*").alias("docs"))
 
 
 def disclosures(docs: DataFrame, near: DataFrame, scratch: Scratch) -> DataFrame:
     """(entity, term, bits, share) of the terms ``near`` entities that disclose them."""
+    # Texts with the term near any entity are some of those that hold it: where they leave too small a share, so do all.
+    around = near.select("term", "digest").distinct().groupBy("term").agg(F.count("*").alias("around"))
     near = near.select("entity", "context", "term").distinct()
     pairs = near.groupBy("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= SUPPORT)
+    pairs = pairs.join(around, "term").filter(F.col("both") / F.greatest("around", "both") >= SHARE).drop("around")
     pairs = scratch.write(pairs, "pairs")
     entities = near.groupBy("entity").agg(F.count_distinct("context").alias("of_entity")).join(pairs.select("entity").distinct(), "entity")
     total = near.select("entity", "context").distinct().count()
-    held = _documents_with(docs).join(pairs.select("term").distinct(), "term")
+    held = _documents_with(docs, pairs.select("term").distinct())
     judged = (
         pairs.join(held, "term").join(entities, "entity")
         # A term may stand in more contexts than documents; its share is of the larger number.

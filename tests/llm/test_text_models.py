@@ -64,6 +64,19 @@ def test_telling_terms(documents):
     assert not any("term" in r["spans"] for r in pii.find(copies).collect())
 
 
+@pytest.mark.parametrize("case", ["forms", "copies"])
+def test_a_term_counts_once_for_each_distinct_text(documents, case):
+    """A term beside one address alone discloses it, though its texts write it in three forms or one has many copies."""
+    shown = "Zanzibar, ZANZIBAR zanzibar" if case == "forms" else "Zanzibar"
+    texts = [f"p{k}a q{k}b r{k}c {shown} wrote from only.one@mail.org s{k}d" for k in range(4)]
+    texts += texts[:1] * (8 if case == "copies" else 0)
+    texts += [f"x{k}a y{k}b someone{k}@mail.org z{k}c" for k in range(600)]
+    rows = list(enumerate(texts))
+    terms = {i: [t[int(s.split(":")[1]) : int(s.split(":")[2])] for s in spans.split(",") if s.startswith("term")] for (i, t), spans in zip(rows, [r["spans"] for r in sorted(pii.find(documents(rows)).collect())], strict=True)}
+    assert all("zanzibar" in " ".join(terms[i]).lower() for i in range(4))
+    assert not any(terms[i] for i in range(len(texts) - 600, len(texts)))
+
+
 def test_pii_edge_cases(edge_cases):
     got = {r["doc_id"]: r for r in pii.find(edge_cases).collect()}
     assert got[1]["base_sha256"] == hashlib.sha256(b"").hexdigest() and got[1]["spans"] == "" and got[8]["n_email"] == 1
