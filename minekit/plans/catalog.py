@@ -125,7 +125,7 @@ _PAIRS = f"WITH {fx.BASKETS}, dealt AS (SELECT * FROM baskets), {_itemset_sql(mo
 
 @query("frequent_itemsets", _FREQUENT)
 def _(spark, d):
-    return _shown(itemsets.apriori(fx.baskets(spark, d), SUPPORT, most=TOP))
+    return _shown(itemsets.apriori(fx.baskets(spark, d), SUPPORT))
 
 
 @query("frequent_pairs_pcy", _PAIRS)
@@ -154,7 +154,7 @@ def _(spark, d):
 
 @query("son_frequent", _PAIRS)
 def _(spark, d):
-    return _shown(itemsets.son(fx.baskets(spark, d), SUPPORT, 4, F.col("basket"), most=2))
+    return _shown(itemsets.son(fx.baskets(spark, d), SUPPORT, 4, F.col("basket")))
 
 
 # ---------------------------------------------------------------- similarity

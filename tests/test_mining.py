@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from minekit.functions import hashing, metrics
 from minekit.operators import cf, clustering, features, graph, itemsets, models, similarity, sketches, summary
+from minekit.plans import catalog
 from minekit.sources import readers, sinks
 from minekit.streaming import live
 
@@ -70,6 +71,15 @@ def test_itemsets_agree(baskets, way):
     assert {tuple(r["itemset"]): r["count"] for r in made.collect()} == brute(data, 12)
 
 
+@pytest.mark.parametrize("name", ["frequent_itemsets", "son_frequent"])
+def test_queries_of_itemsets_go_on_until_a_level_is_empty(spark, monkeypatch, name):
+    data = {(b, i) for b in range(40) for i in ((0, 1, 2, 3, 4) if b % 8 < 5 else (b % 8, 2, 3))}
+    df = spark.createDataFrame(sorted(data), "basket int, item int")
+    monkeypatch.setattr(catalog.fx, "baskets", lambda spark, d: df)
+    got = {tuple(map(int, r["itemset"].split(","))): r["count"] for r in catalog.QUERIES[name](spark, "").collect()}
+    assert got == brute(data, catalog.SUPPORT) and max(map(len, got)) == 5
+
+
 def test_itemsets_of_nothing(spark):
     none = spark.createDataFrame([], "basket int, item int")
     assert itemsets.apriori(none, 1).count() == 0
