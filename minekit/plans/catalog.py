@@ -440,7 +440,7 @@ def _(spark, d):
 
 @query("girvan_newman")
 def _(spark, d):
-    return graph.girvan_newman(fx.edges(spark, d), steps=1)
+    return graph.girvan_newman(fx.edges(spark, d))
 
 
 # ---------------------------------------------------------------- clustering

@@ -153,6 +153,71 @@ def test_girvan_newman_cuts_the_bridge(seven):
     assert [r["line"] for r in sinks.community_report(members).collect()] == ["'A', 'B', 'C'", "'D', 'E', 'F', 'G'"]
 
 
+def brute_girvan_newman(edges):
+    """{node: component} and the number of cuts before modularity first falls."""
+
+    def around():
+        out = {x: set() for x in nodes}
+        for a, b in left:
+            out[a].add(b), out[b].add(a)
+        return out
+
+    def parts():
+        adjacent, out = around(), {}
+        for root in sorted(nodes):
+            todo = [] if root in out else [root]
+            while todo:
+                x = todo.pop()
+                out[x] = root
+                todo += [y for y in adjacent[x] if y not in out]
+        return out
+
+    def quality(of):
+        m, adjacent = len(left), around()
+        inside = [(a, b) for a, b in combinations(sorted(nodes), 2) if of[a] == of[b]]
+        return sum(((a, b) in left) - len(adjacent[a]) * len(adjacent[b]) / (2 * m) for a, b in inside) / (2 * m)
+
+    def scores():
+        adjacent, out = around(), dict.fromkeys(left, 0.0)
+        for root in nodes:
+            level, paths, order = {root: 0}, {root: 1}, [root]
+            for x in order:
+                for y in adjacent[x]:
+                    if y not in level:
+                        level[y], paths[y] = level[x] + 1, 0
+                        order.append(y)
+                    paths[y] += paths[x] * (level[y] == level[x] + 1)
+            credit = dict.fromkeys(order, 1.0)
+            for y in reversed(order):
+                for x in adjacent[y]:
+                    if level[x] == level[y] - 1:
+                        flow = credit[y] * paths[x] / paths[y]
+                        credit[x] += flow
+                        out[min(x, y), max(x, y)] += flow / 2
+        return out
+
+    left, cuts = set(edges), 0
+    nodes = {x for e in left for x in e}
+    best = parts()
+    q = quality(best)
+    while len(left) > 1:
+        found = scores()
+        left.remove(min(left, key=lambda e: (-round(found[e], 9), e)))
+        members = parts()
+        if quality(members) < q - 1e-12:
+            break
+        best, q, cuts = members, quality(members), cuts + 1
+    return best, cuts
+
+
+def test_the_girvan_newman_query_cuts_until_modularity_falls(spark, monkeypatch):
+    edges = [(1, 2), (1, 3), (2, 3), (3, 4), (4, 5), (4, 6), (5, 6), (6, 7), (7, 8), (7, 9), (8, 9)]
+    want, cuts = brute_girvan_newman(edges)
+    df = spark.createDataFrame(edges, "src int, dst int")
+    monkeypatch.setattr(catalog.fx, "edges", lambda spark, d: df)
+    assert cuts == 2 and {r["node"]: r["component"] for r in catalog.QUERIES["girvan_newman"](spark, "").collect()} == want
+
+
 def test_components_modularity_labels(spark, seven):
     chain = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(50, 51)], "src int, dst int")
     got = {r["node"]: r["component"] for r in graph.connected_components(chain).collect()}
