@@ -22,23 +22,45 @@ BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small; called by every operator that hands texts to Python."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    """Keep Arrow batches small, for every operator that hands texts to Python.
+
+    The session keeps the lower settings: frames are evaluated later, and only these bound
+    them then.  Settings that are lower already stay.
+    """
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{key}").removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", most)
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of text in a range that one task orders and writes, about.
+RANGE_BYTES = 128 << 20
+
+
+def ranges_of(docs: DataFrame) -> int:
+    """Ranges of ``docs`` (text): as many as shuffle partitions, and more where these would hold over ``RANGE_BYTES`` each."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(partitions(docs.sparkSession), -(-size // RANGE_BYTES))
+
+
 _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder.
+
+    Where neither is set, a folder of our own in local mode; an error elsewhere, since
+    executors would not see the driver's folder.
+    """
     global _own_dir
-    if found := spark.conf.get("spark.checkpoint.dir", None):
+    if found := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
         return found
+    if not re.fullmatch(r"local(\[[^,]*(,[^,]*)?\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     _own_dir = _own_dir or "file://" + tempfile.mkdtemp(prefix="minekit-")
     return _own_dir
 
@@ -48,7 +70,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/minekit-{what}-{uuid.uuid4().hex}"
-        self.n = 0
+        self.n, self.paths = 0, set()
         atexit.register(self.clear)
 
     def path(self, name: str) -> str:
@@ -60,12 +82,18 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.paths.add(path)
         return out
 
     def drop(self, *frames: DataFrame) -> None:
         for x in frames:
             self._delete(getattr(x, "_scratch_path", None))
 
+    def drop_but(self, *frames: DataFrame) -> None:
+        """Delete every table but those of ``frames``, once nothing reads the others any more."""
+        for path in self.paths - {x._scratch_path for x in frames}:
+            self._delete(path)
+
     def clear(self) -> None:
         self._delete(self.root)
 
@@ -80,17 +108,28 @@ class Scratch:
             return
 
 
-def map_batches(
-    df: DataFrame, schema: str, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch]
-) -> DataFrame:
-    """mapInArrow with a function of one batch that returns one batch."""
+def release() -> None:
+    """Hand memory that nothing uses back to the system: a worker stays for later tasks, and others run beside it."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield function(batch)
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow with ``run``, which gets small batches, none of them empty; memory goes back at the end of each task."""
+    bound_batches(df.sparkSession)
+
+    def with_release(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(x for x in batches if x.num_rows)
+        finally:
+            release()
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(with_release, schema)
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:

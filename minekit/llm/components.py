@@ -31,5 +31,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         scratch.drop(current, large)
         current = after
         if tuple(state) == last:
-            return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out = current.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out._scratch_path = current._scratch_path
+            return out
         last = tuple(state)

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from minekit.llm import fingerprints, mixing, near_dup
 from minekit.llm.common import Scratch
@@ -70,6 +71,48 @@ def test_links_with_the_smallest_id_of_a_crowded_group(documents, tails):
     assert got == {i: root for i, (_, root) in brute(rows, 2).items()} and set(got.values()) == {1, 1001, 2001, 3001}
 
 
+def templated(n, words=300, seed=3, same=0.88):
+    """Texts of one template that lie just under the limit, each with words of its own, and a few that are near copies."""
+    draw = random.Random(seed)
+    rows = []
+    for i in range(n):
+        text = [f"t{k}" if draw.random() < same else f"d{i}x{k}" for k in range(words)]
+        rows.append((i + 1, " ".join(text)))
+        if i % 40 == 0:
+            rows.append((100_000 + i, " ".join([*text[:-2], "other", "end"])))
+    return rows
+
+
+@pytest.mark.parametrize("few", [0, 64])
+def test_crowds_of_lone_texts(documents, few, monkeypatch):
+    """Buckets of many texts that link with none or one other: pair by pair, and by blocks of several sizes."""
+    monkeypatch.setattr(near_dup, "FEW", few)
+    monkeypatch.setattr(near_dup, "IN_BLOCK", 1 << 12)
+    rows = templated(160, words=100, same=0.95)
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(documents(rows), width=2).collect()}
+    assert got == {i: root for i, (_, root) in brute(rows, 2).items()}
+
+
+def test_links_of_blocks_equal_brute_force(monkeypatch):
+    monkeypatch.setattr(near_dup, "CELLS", 2000)
+    rng = np.random.default_rng(5)
+    make = lambda n: [np.unique(rng.choice(40, rng.integers(1, 36))).astype(np.uint64) for _ in range(n)]
+    left, right = make(70), make(90)
+    right[:20] = [x.copy() for x in left[:20]]
+    i, j = near_dup.linked_places(left, right)
+    want = {(a, b) for a, x in enumerate(left) for b, y in enumerate(right) if 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y))}
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == want and len(i) == len(want)
+
+
+def test_kept_rows_with_any_columns(documents):
+    """Repeated doc_ids, a map column, and names that the operator might use itself."""
+    long = " ".join(f"a{k}" for k in range(30))
+    docs = documents([(5, long, "b"), (5, long, "a"), (7, long), (9, "all other words"), (None, long), (9, "all other words")])
+    docs = docs.withColumns({c: F.lit(c) for c in ("__row", "n", "row", "node", "kept", "digest")}).withColumn("tags", F.create_map(F.lit("k"), F.col("source")))
+    got = sorted(near_dup.keep_one_of_each(docs).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"]))
+    assert [r["doc_id"] for r in got] == [5, 9, None] and got[0]["source"] == "a" and got[0]["tags"] == {"k": "a"} and got[0]["__row"] == "__row"
+
+
 def test_edge_cases(edge_cases):
     got = near_dup.near_duplicates(edge_cases, width=2).collect()
     by = {r["doc_id"]: r for r in got}
@@ -180,7 +223,7 @@ def test_mixed_documents_are_what_was_taken(documents, edge_cases):
 
 
 def test_slots_take_each_block_once_an_epoch(spark):
-    sources = spark.createDataFrame([("sa", 0, 1.0, 128 * 37, 128 * 90.0), ("sb", 1, 2.0, 128 * 5, 128 * 2.0)], "s string, rank int, weight double, source_size long, target double")
+    sources = spark.createDataFrame([("sa", 0, 0, 128 * 37, 128 * 90.0), ("sb", 0, 1, 128 * 5, 128 * 2.0)], "s string, part long, rank long, source_size long, target double")
     made = mixing.slots(sources).toPandas()
     assert sorted(made["shard"] * mixing.SHARD + made["place"]) == list(range(92))
     for s, n, most in (("sa", 37, 3), ("sb", 5, 1)):
