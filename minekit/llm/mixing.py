@@ -3,15 +3,20 @@
 The words of a source, its documents one after another, are packed into blocks of
 ``BLOCK`` words.  Targets follow the weights, capped at a multiple of each source's
 size.  Every source gets whole epochs of its blocks and a remainder; all slots together
-are numbered, and an affine permutation of the numbers deals them to output shards, so
-the source counts of a shard are multinomial draws from the mix, given its totals.
-Slot j of a source holds the block that a permutation of the source's block numbers
-puts at j; blocks and slots meet in a join by block number.  An epoch takes each block
-once, so no document is taken more often than there are epochs.
+are numbered, and a pseudorandom permutation of the numbers deals them to output shards,
+so the source counts of a shard are multinomial draws given the totals of the mix (drawn
+without replacement).  Slot i of an epoch holds the block that the permutation of this
+source and epoch puts at i; blocks and slots meet in a join by block number.  An epoch
+takes each block once at most, so no document is taken more often than there are epochs.
+
+The permutations are swap-or-not networks: a round reflects an index at a keyed point or
+leaves it, by a keyed bit that both of the pair share.  They are one-to-one for any
+number of slots, need no state and no shuffle, and any task computes any part of them.
 
 Order within a source is by a hash of doc_id in chunks, then doc_id; places are prefix
-sums within chunks, over chunks, and over groups of chunks, so that no source, however
-large, is gathered in a task.
+sums within chunks, over chunks, and over groups of chunks, and sources are numbered by
+prefix sums over ranges of their names, so that no source, however large, and no number
+of sources is gathered in a task.
 
 Defined cases: null or empty text has size 0 and is never taken; null is a source like
 others, and the last; a source of size 0 has target 0; repeated rows are separate
@@ -23,15 +28,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from minekit.llm.common import WORD_SQL, Scratch, need, table
+from minekit.llm.common import WORD_SQL, Scratch, need, partitions, table
 
 #: Words in a block, slots in an output shard, and how often a document may be taken.
 BLOCK, SHARD, EPOCHS = 128, 1024, 3
 #: Documents in a chunk of the order, about; chunks in a group; slots that one row unfolds to.
 CHUNK, GROUP, STEP = 500, 1000, 8192
-#: Multipliers of the permutations: primes, so that one of them at least has no factor in common with any number here.
-PRIMES = (1000003, 1000033, 1000037, 1000039)
-#: Sources that may be broadcast; beyond it, joins shuffle them.
+#: Rounds of a permutation, the prime that its keys and bits are taken by, and the key of the permutation of all slots.
+ROUNDS, PRIME, ALL_SLOTS = 32, 2147483647, 77_777_777
+#: Sources that are broadcast to the rows of the result; beyond it, the join shuffles them.  The rows are the same.
 BROADCAST_SOURCES = 1000
 UNIT = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
 
@@ -46,30 +51,72 @@ def _hashed(column: Column) -> Column:
     return F.coalesce(F.conv(F.substring(F.md5(column.cast("string")), 1, 8), 16, 10).cast("long"), F.lit(0))
 
 
-def _permuted(index: Column, n: Column, shift: Column) -> Column:
-    """A one-to-one map of 0 ... n - 1 onto itself."""
-    multiplier = F.filter(F.array(*[F.lit(p).cast("long") for p in PRIMES]), lambda p: n % p != 0)[0]
-    return (multiplier * index + shift % n) % n
+def round_keys(key: Column, n: Column) -> Column:
+    """The point and the salt of each round of the permutation of 0 ... n - 1 with this key, as an array."""
+    step = lambda x, by, plus: (x * x % PRIME + x * by + plus) % PRIME
+    first = F.transform(F.sequence(F.lit(1), F.lit(ROUNDS)), lambda r: (key % PRIME * 48271 + r.cast("long") * 7919 + 11) % PRIME)
+    a = F.transform(first, lambda x: step(x, 69621, 7919))
+    pairs = F.transform(a, lambda x: F.struct(x.alias("a"), step(x, 16807, 104729).alias("b")))
+    return F.transform(pairs, lambda p: F.struct(((p["a"] * PRIME + p["b"]) % n).alias("point"), step(p["b"], 48271, 11).alias("salt")))
+
+
+def permuted(index: Column, n: Column, keys: Column) -> Column:
+    """Where the permutation of 0 ... n - 1 puts ``index``: a swap-or-not network with ``keys`` from ``round_keys``."""
+
+    def one(x: Column, key: Column) -> Column:
+        other = (key["point"] + n - x) % n
+        high = F.greatest(x, other)
+        t = (high % PRIME + F.shiftright(high, 31) * 7919 + key["salt"]) % PRIME
+        return F.when(t * t % PRIME % 2 == 1, other).otherwise(x)
+
+    return F.aggregate(keys, index, one)
+
+
+def numbered(rows: DataFrame, scratch: Scratch, name: str, *order: Column) -> DataFrame:
+    """``rows`` with ``rank`` from 0 in the given order, and ``part``, a number that ascends with it in runs.
+
+    Ranges of the order are sorted each by itself; a row for each range is all that one task sees.
+    """
+    n = partitions(rows.sparkSession)
+    at = F.monotonically_increasing_id()
+    made = scratch.write(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("at", at), name)
+    made = made.withColumn("part", F.shiftright("at", 33))
+    return made.join(_bases(made, F.count("*")), "part").withColumn("rank", F.col("base") + F.col("at").bitwiseAND((1 << 33) - 1)).drop("at", "base")
+
 
+def _bases(rows: DataFrame, total: Column) -> DataFrame:
+    """(part, base): what the parts before each have together; as many rows as parts."""
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("part").agg(total.alias("total"))
+    return F.broadcast(sums.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base")))
 
-def targets(sized: DataFrame, weight=weight_of, cap: int = EPOCHS) -> DataFrame:
-    """(s, source_size, target, ...) from (s, source, size): shares by weight, none above ``cap`` times its size.
 
-    Capped sources are those of least size for their weight; the level that the others
-    reach follows from sums in that order.
+def level_of(weighed: DataFrame) -> float:
+    """The level at which sources of ``weight`` are filled up to ``most`` and sum to all sizes.
+
+    Newton's steps on the sum, which grows in straight pieces: sources below the level
+    are capped and the others share the rest, until no more are capped.  Each step is an
+    aggregation to one row.
     """
+    level, capped = 0.0, -1
+    while True:
+        over = F.col("most") < level * F.col("weight")
+        got = weighed.agg(
+            F.sum("source_size"), F.sum(F.when(over, F.col("most"))), F.sum(F.when(~over, F.col("weight"))), F.count_if(over)
+        ).first()
+        if got[3] == capped or not got[2]:
+            return level
+        level, capped = ((got[0] or 0) - (got[1] or 0)) / got[2], got[3]
+
+
+def targets(sized: DataFrame, scratch: Scratch, weight=weight_of, cap: int = EPOCHS) -> DataFrame:
+    """(s, part, rank, source_size, target) from (s, source, size): shares by weight, none above ``cap`` times its size."""
     by_source = sized.groupBy("s", "source").agg(F.sum("size").alias("source_size"))
-    ranked = by_source.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+    ranked = numbered(by_source, scratch, "ranked", F.col("source").asc_nulls_last())
     weighed = ranked.withColumn("weight", weight(F.col("rank")).cast("double")).withColumn("most", F.lit(float(cap)) * F.col("source_size"))
-    order = Window.orderBy(F.col("most") / F.col("weight"), "rank")
-    before, all_rows = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    levels = (
-        weighed.withColumn("left", F.sum("source_size").over(all_rows) - F.coalesce(F.sum("most").over(before), F.lit(0.0)))
-        .withColumn("level", F.col("left") / (F.sum("weight").over(all_rows) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
-        .withColumn("fits", F.col("level") <= F.col("most") / F.col("weight"))
-        .withColumn("reached", F.max(F.when(F.col("fits"), F.struct(-F.col("most") / F.col("weight"), -F.col("rank"), "level"))).over(all_rows)["level"])
-    )
-    return levels.withColumn("target", F.least("most", F.col("weight") * F.coalesce("reached", F.lit(0.0)))).select("s", "rank", "weight", "source_size", "target")
+    weighed = scratch.write(weighed, "weighed")
+    target = F.least("most", F.col("weight") * F.lit(level_of(weighed)))
+    return scratch.write(weighed.withColumn("target", target).select("s", "part", "rank", "source_size", "target"), "sources")
 
 
 def placed(sized: DataFrame, documents: int) -> DataFrame:
@@ -93,24 +140,30 @@ def placed(sized: DataFrame, documents: int) -> DataFrame:
 
 def slots(sources: DataFrame) -> DataFrame:
     """(s, j, block, shard, place): every slot of the mix, the block that fills it, and where it goes."""
-    planned = (
+    long = lambda x: F.lit(x).cast("long")
+    counted = (
         sources.filter("source_size > 0")
         .withColumn("blocks", F.ceil(F.col("source_size") / BLOCK).cast("long"))
         .withColumn("slots", F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long"))
-        .withColumn("first", F.sum("slots").over(Window.orderBy("rank")) - F.col("slots"))
-        .withColumn("all", F.sum("slots").over(Window.partitionBy()))
-        .filter("slots > 0")
-        .select("s", "blocks", "slots", "first", "all", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / STEP))).alias("step"))
     )
-    unfolded = planned.repartition("s", "step").select(
-        "s", "blocks", "first", "all",
-        F.explode(F.sequence(F.col("step") * STEP, F.least(F.col("slots") - 1, F.col("step") * STEP + STEP - 1))).alias("j"),
-    )
-    at = _permuted(F.col("first") + F.col("j"), F.col("all"), F.lit(77_777_777).cast("long"))
-    return unfolded.select(
-        "s", "j", _permuted(F.col("j") % F.col("blocks"), F.col("blocks"), _hashed(F.col("s"))).alias("block"),
-        F.floor(at / SHARD).alias("shard"), (at % SHARD).alias("place"),
+    own = Window.partitionBy("part").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    counted = counted.withColumn("own", F.coalesce(F.sum("slots").over(own), F.lit(0))).join(_bases(counted, F.sum("slots")), "part")
+    counted = counted.withColumn("first", F.col("base") + F.col("own")).crossJoin(F.broadcast(counted.agg(F.sum("slots").alias("all"))))  # one row
+    epochs = counted.filter("slots > 0").withColumn("epoch", F.explode(F.sequence(long(0), F.floor((F.col("slots") - 1) / F.col("blocks")))))
+    epochs = epochs.withColumn("before", F.col("epoch") * F.col("blocks")).withColumn("n", F.least("blocks", F.col("slots") - F.col("before")))
+    steps = epochs.select(
+        "s", "epoch", "blocks", "before", "first", "all", "n", F.explode(F.sequence(long(0), F.floor((F.col("n") - 1) / STEP))).alias("step")
+    ).repartition(partitions(sources.sparkSession), "s", "epoch", "step")
+    keyed = steps.withColumn("keys", round_keys(_hashed(F.col("s")) + F.col("epoch") * 1_000_003, F.col("blocks"))).withColumn("all_keys", round_keys(long(ALL_SLOTS), F.col("all")))
+    each = lambda i: F.struct(
+        (F.col("before") + i).alias("j"), permuted(i, F.col("blocks"), F.col("keys")).alias("block"),
+        permuted(F.col("first") + F.col("before") + i, F.col("all"), F.col("all_keys")).alias("at"),
     )
+    indices = F.sequence(F.col("step") * STEP, F.least(F.col("n") - 1, F.col("step") * STEP + STEP - 1))
+    at = F.col("e.at")
+    return keyed.select("s", F.explode(F.transform(indices, each)).alias("e")).select(
+        "s", "e.j", "e.block", F.floor(at / SHARD).alias("shard"), (at % SHARD).alias("place")
+    )
 
 
 def shard_counts(made: DataFrame) -> DataFrame:
@@ -129,7 +182,7 @@ def plan(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
         F.xxhash64("text").alias("digest"), F.coalesce(F.regexp_count("text", F.lit(WORD_SQL)), F.lit(0)).cast("long").alias("size"),
     )
     sized = scratch.write(sized, "sized")
-    sources = scratch.write(targets(sized), "sources")
+    sources = targets(sized, scratch)
     n_sources, documents = sources.count(), sized.count()
     times = slots(sources).groupBy("s", "block").agg(F.count("*").alias("times"), F.min("shard").alias("shard"))
     words = scratch.write(placed(sized.filter("size > 0"), documents), "placed")
@@ -166,24 +219,32 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix as documents with the columns of ``docs``: for each epoch, the words that it takes of each document.
 
     A text that is taken whole stays as it is; of others the taken stretches are joined,
-    each with the white space after its words.
+    each with the white space after its words.  Rows of one doc_id, source and text have a
+    plan each; in their other columns they are all like the first of them by JSON.  No
+    column name is reserved.
     """
-    made, _, _ = plan(docs, Scratch(docs.sparkSession, "mixing"))
-    parts = made.filter("taken > 0").select(
-        F.col("doc_id").alias("m_id"), F.col("digest").alias("m_digest"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), F.array_sort("parts").alias("m_parts")
-    )
-    keyed = docs.withColumn("m_key", F.xxhash64("text")).dropDuplicates()  # equal rows have a plan each
-    joined = keyed.join(
-        parts, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("m_key") == F.col("m_digest")) & F.col("source").eqNullSafe(F.col("m_source"))
-    )
-    each = joined.withColumn("m_epoch", F.explode(F.array(*[F.lit(e) for e in range(1, EPOCHS + 1)])))
-    each = each.withColumn("m_parts", F.filter("m_parts", lambda p: p["times"] >= F.col("m_epoch"))).filter(F.size("m_parts") > 0)
-    words = F.aggregate("m_parts", F.lit(0).cast("long"), lambda x, p: x + p["n"])
-    units = F.regexp_extract_all("text", F.lit(UNIT), F.lit(0))
-    stretches = F.transform("m_parts", lambda p: F.array_join(F.slice(F.col("m_units"), (p["from"] + 1).cast("int"), p["n"].cast("int")), ""))
-    text = F.when(words == F.col("m_size"), F.col("text")).otherwise(F.array_join(stretches, ""))
-    out = each.withColumn("m_units", F.when(words != F.col("m_size"), units)).withColumn("text", text)
-    return out.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    scratch = Scratch(docs.sparkSession, "mixing")
+    made, _, _ = plan(docs, scratch)
+    taken = made.filter("taken > 0").select("doc_id", "digest", "source", "size", F.array_sort("parts").alias("parts"))
+    taken = scratch.write(taken, "taken")
+    key = ["doc_id", "digest", "source"]
+    repeated = scratch.write(taken.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(*key), "repeated")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("digest"), "source", F.struct(*docs.columns).alias("row"))
+    same = F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.digest") == F.col("y.digest")) & F.col("x.source").eqNullSafe(F.col("y.source"))
+    of = lambda how: rows.alias("x").join(repeated.alias("y"), same, how)
+    several = of("left_semi").groupBy(*key).agg(F.min_by("row", F.to_json("row")).alias("row"))
+    rows = of("left_anti").unionByName(several)
+    # The plans are small beside the texts, which need no sort then.
+    joined = rows.alias("x").join(taken.hint("shuffle_hash").alias("y"), same).select("row", "size", "parts")
+    each = joined.withColumn("epoch", F.explode(F.array(*[F.lit(e) for e in range(1, EPOCHS + 1)])))
+    each = each.withColumn("parts", F.filter("parts", lambda p: p["times"] >= F.col("epoch"))).filter(F.size("parts") > 0)
+    words = F.aggregate("parts", F.lit(0).cast("long"), lambda x, p: x + p["n"])
+    units = F.regexp_extract_all("row.text", F.lit(UNIT), F.lit(0))
+    stretches = F.transform("parts", lambda p: F.array_join(F.slice(F.col("units"), (p["from"] + 1).cast("int"), p["n"].cast("int")), ""))
+    text = F.when(words == F.col("size"), F.col("row.text")).otherwise(F.array_join(stretches, ""))
+    out = each.withColumn("units", F.when(words != F.col("size"), units)).withColumn("new", text).select("row", "new")
+    own = {"text": F.col("new"), "n_chars": F.length("new")}
+    return out.select(*[own.get(c, F.col("row")[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

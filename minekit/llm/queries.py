@@ -28,8 +28,15 @@ _NEAR_DUPLICATES = f"""WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, {_WORDS.
   least AS (SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY 1)
   SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM lists JOIN least USING (doc_id)"""
 
-_PRIME = "CASE " + " ".join(f"WHEN {{n}} % {p} <> 0 THEN {p}" for p in mixing.PRIMES) + " END"
+_P = mixing.PRIME
 _HASH = "CAST('0x' || substr(md5(CAST({x} AS VARCHAR)), 1, 8) AS BIGINT)"
+_OTHER = "((k.point + {n} - x) % {n})"
+_STEP = f"(x * x % {_P} + x * {{by}} + {{plus}}) % {_P}"
+_A = f"[{_STEP.format(by=69621, plus=7919)} FOR x IN [(({{key}}) % {_P} * 48271 + r * 7919 + 11) % {_P} FOR r IN range(1, {mixing.ROUNDS + 1})]]"
+_AB = f"[{{{{'a': x, 'b': {_STEP.format(by=16807, plus=104729)}}}}} FOR x IN {_A}]"
+_KEYS = f"[{{{{'point': (p.a * {_P} + p.b) % {{n}}, 'salt': {_STEP.format(by=48271, plus=11).replace('x', 'p.b')}}}}} FOR p IN {_AB}]"
+_T = f"((greatest(x, {_OTHER}) % {_P} + (greatest(x, {_OTHER}) >> 31) * 7919 + k.salt) % {_P})"
+_PERMUTED = f"list_reduce({{keys}}, lambda x, k: CASE WHEN {_T} * {_T} % {_P} % 2 = 1 THEN {_OTHER} ELSE x END, CAST({{x}} AS BIGINT))"
 _MIXING = f"""WITH sized AS MATERIALIZED (SELECT doc_id, source, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS s,
     CAST(coalesce(len({_WORDS.format(text='text')}), 0) AS BIGINT) AS size FROM documents),
   by_source AS (SELECT s, source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY 1, 2),
@@ -40,9 +47,11 @@ _MIXING = f"""WITH sized AS MATERIALIZED (SELECT doc_id, source, CASE WHEN sourc
   reached AS (SELECT coalesce((SELECT level FROM levels WHERE level <= most / weight ORDER BY most / weight, rank LIMIT 1), 0) AS level),
   sources AS MATERIALIZED (SELECT s, rank, source_size, least(most, weight * (SELECT level FROM reached)) AS target FROM weighed),
   planned AS (SELECT s, rank, CAST(ceil(source_size / {mixing.BLOCK}) AS BIGINT) AS n, CAST(round(target * ceil(source_size / {mixing.BLOCK}) / source_size) AS BIGINT) AS slots FROM sources WHERE source_size > 0),
-  numbered AS MATERIALIZED (SELECT *, CAST(sum(slots) OVER (ORDER BY rank) - slots AS BIGINT) AS first, CAST(sum(slots) OVER () AS BIGINT) AS total FROM planned),
-  unfolded AS (SELECT s, n, first, total, unnest(range(slots)) AS j FROM numbered),
-  slots AS (SELECT s, ({_PRIME.format(n='n')} * (j % n) + {_HASH.format(x='s')} % n) % n AS block, (({_PRIME.format(n='total')} * (first + j) + 77777777 % total) % total) // {mixing.SHARD} AS shard FROM unfolded),
+  sums AS MATERIALIZED (SELECT *, CAST(sum(slots) OVER (ORDER BY rank) - slots AS BIGINT) AS first, CAST(sum(slots) OVER () AS BIGINT) AS total FROM planned),
+  epochs AS (SELECT *, unnest(range((slots + n - 1) // n)) AS epoch FROM sums),
+  keyed AS MATERIALIZED (SELECT *, {_KEYS.format(key=f"{_HASH.format(x='s')} + epoch * 1000003", n='n')} AS keys, {_KEYS.format(key=f'{mixing.ALL_SLOTS}::BIGINT', n='total')} AS all_keys FROM epochs),
+  unfolded AS (SELECT s, n, first, total, epoch, keys, all_keys, unnest(range(least(n, slots - epoch * n))) AS i FROM keyed),
+  slots AS (SELECT s, {_PERMUTED.format(keys='keys', x='i', n='n')} AS block, {_PERMUTED.format(keys='all_keys', x='first + epoch * n + i', n='total')} // {mixing.SHARD} AS shard FROM unfolded),
   times AS MATERIALIZED (SELECT s, block, count(*) AS times, min(shard) AS shard FROM slots GROUP BY 1, 2),
   chunks AS (SELECT greatest(1, (count(*) + {mixing.CHUNK - 1}) // {mixing.CHUNK}) AS k FROM sized),
   placed AS MATERIALIZED (SELECT *, CAST(sum(size) OVER (PARTITION BY s ORDER BY coalesce({_HASH.format(x='doc_id')}, 0) % (SELECT k FROM chunks), doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS start
