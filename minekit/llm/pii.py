@@ -1,15 +1,24 @@
 """Personal data: patterns with validity tests, and information-theoretic sanitisation of what gives it away.
 
-Protected entities are the values that the patterns find.  Terms near them are counted
-over the corpus by (entity, term); a term discloses an entity where, given the term,
-the entity is far likelier than it is anyway: log2(P(entity | term) / P(entity)) and
-P(entity | term) both exceed thresholds, on at least ``SUPPORT`` distinct contexts.
-P(. | term) is over all distinct texts that hold the term in any written form, near an entity or not.  Such
-terms are spans of kind ``term`` wherever they stand near the entity, and are
-generalised (to a word shape) in sanitised texts; base values become their kind.
-
-Contexts are counted once for each distinct text, so copies of a document prove
-nothing.  Counts are over all documents; nothing is sampled.
+Protected are the values that the patterns find, and secrets: long runs of letters and
+digits that hold too many bits to be words.  Each is protected at three levels: the
+value, its class (the domain of an address, the first half of an ip, the issuer of a
+card, the area of a phone number, the length of a secret), and its kind.  Terms near
+protected values are counted over the corpus; a term discloses a value, class or kind e
+where
+
+* P(e | term), the share of the distinct texts holding the term in which it stands near
+  e, smoothed by ``PRIOR`` texts at the base rate, is ``SHARE`` or more,
+* log2(P(e | term) / P(e)) is at least ``BITS`` of the level and what e's generalisation
+  tells, -log2 P(kind) for a value or class and -log2 P(any kind) for a kind, and
+* ``SUPPORT`` units bear it out: distinct contexts of a value, distinct values of a class or kind.
+
+Such terms are spans of kind ``term`` wherever they stand near e, and are generalised (to
+a word shape) in sanitised texts; values become their kind.  The base spans of the
+patterns do not depend on any of this.
+
+Texts and contexts are counted once each, so copies of a document prove nothing.
+Counts are over all documents; nothing is sampled.
 
 Defined cases: null or empty text has no spans; repeated rows are handled each and are
 one context; an empty table gives no rows; extra columns are ignored by ``find`` and
@@ -29,13 +38,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minekit.llm.common import WORD, Scratch, bound_batches, need, table, texts_of
+from minekit.llm.common import WORD, Scratch, bound_batches, map_arrow, need, release, table, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
+SECRET = "secret"
 #: Words on each side of an entity that are its context.
 NEAR = 8
-#: Distinct contexts of an entity with a term, share of the term's documents, and bits of information, at least.
-SUPPORT, SHARE, BITS = 3, 0.5, 6.0
+#: Units that bear a disclosure out, share of the term's texts, and bits of information by level, at least; texts of the prior.
+SUPPORT, SHARE, BITS, PRIOR = 3, 0.5, {"value": 6.0, "class": 3.0, "kind": 3.0}, 1.0
+#: Letters and digits of a secret, and the bits that their frequencies within it make, in all and for each, at least.
+SECRET_LENGTH, SECRET_BITS, SECRET_RATE = 20, 60.0, 2.5
 #: Written forms whose terms a task remembers, and rows that it hands on at once.
 FLUSH = 200_000
 #: Bits of the map of the terms that may disclose.
@@ -48,6 +60,7 @@ IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]")
+RUN = re.compile(f"[A-Za-z0-9]{{{SECRET_LENGTH},}}")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -89,6 +102,28 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def secret_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Runs with three letters and three digits or more and enough bits, apart from base spans."""
+    out = []
+    for m in RUN.finditer(text):
+        run = m[0]
+        digits = sum(map(run.count, "0123456789"))
+        if 3 <= digits <= len(run) - 3 and _entropy(run) >= max(SECRET_RATE, SECRET_BITS / len(run)) and not any(a < m.end() and m.start() < b for _, a, b in base):
+            out.append((SECRET, *m.span()))
+    return out
+
+
+def _entropy(run: str) -> float:
+    """Bits a character, by the characters' frequencies."""
+    n = np.array(list(Counter(run).values()), float) / len(run)
+    return float(-(n * np.log2(n)).sum())
+
+
+def protected_spans(text: str) -> list[tuple[str, int, int]]:
+    base = base_spans(text)
+    return base + secret_spans(text, base)
+
+
 def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
@@ -121,37 +156,52 @@ def contexts(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int
         yield a, b, terms
 
 
-def entity_of(text: str, kind: str, a: int, b: int) -> int:
-    """A number for the protected value: digits alone, or letters in lower case."""
-    value = text[a:b].lower() if kind == "email" else NOT_DIGIT.sub("", text[a:b]) if kind != "ip" else text[a:b]
-    return xxhash.xxh3_64_intdigest(f"{kind}:{value}") - (1 << 63)
+def _number(x: str) -> int:
+    return xxhash.xxh3_64_intdigest(x) - (1 << 63)
+
 
+def levels_of(text: str, kind: str, a: int, b: int) -> tuple[str, str]:
+    """The protected value (digits alone, or letters in lower case) and its class."""
+    value = text[a:b].lower()
+    if kind == "email":
+        return value, value.rpartition("@")[2]
+    if kind == "ip":
+        return value, ".".join(value.split(".")[:2])
+    if kind == SECRET:
+        return value, str(len(value))
+    digits = NOT_DIGIT.sub("", value)
+    return digits, digits[: 6 if kind == "card" else 4]
 
-NEAR_COLUMNS = [("doc_id", pa.int64()), ("digest", pa.int64()), ("entity", pa.int64()), ("context", pa.int64()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())]
 
+NEAR_COLUMNS = [
+    ("doc_id", pa.int64()), ("digest", pa.int64()), ("value", pa.int64()), ("class", pa.int64()), ("kind", pa.int64()), ("context", pa.int64()),
+    ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64()),
+]
 
-def _digest(text: str) -> int:
-    """With doc_id it names a row, should a doc_id have several texts."""
-    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null as empty) and its digest, which with doc_id names a row, should a doc_id have several texts."""
+    return need(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("digest", F.xxhash64("text"))
 
 
 def _near_terms(docs: DataFrame) -> DataFrame:
-    """Every term near an entity, with its place; context: a digest of the context's terms."""
+    """Every term near a protected value, with its place; context: a digest of the context's terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[list] = [[] for _ in NEAR_COLUMNS]
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
-                spans = base_spans(text)
+            for doc, digest, text in zip(batch.column("doc_id").to_pylist(), batch.column("digest").to_pylist(), texts_of(batch), strict=True):
+                spans = protected_spans(text)
                 for (kind, a, b), (_, _, terms) in zip(spans, contexts(text, spans), strict=True):
-                    entity = entity_of(text, kind, a, b)
-                    context = xxhash.xxh3_64_intdigest(" ".join(sorted({t for t, _, _ in terms}))) - (1 << 63)
+                    value, class_ = levels_of(text, kind, a, b)
+                    entity = _number(f"value:{kind}:{value}"), _number(f"class:{kind}:{class_}"), _number(f"kind:{kind}")
+                    context = _number(" ".join(sorted({t for t, _, _ in terms})))
                     for t, x, y in terms:
-                        for column, value in zip(rows, (doc, _digest(text), entity, context, t, x, y), strict=True):
+                        for column, value in zip(rows, (doc, digest, *entity, context, t, x, y), strict=True):
                             column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(rows, NEAR_COLUMNS, strict=True)], names=[n for n, _ in NEAR_COLUMNS])
 
-    return docs.mapInArrow(run, ", ".join(f"`{n}` {'string' if n == 'term' else 'long'}" for n, _ in NEAR_COLUMNS))
+    return map_arrow(docs, run, ", ".join(f"`{n}` {'string' if n == 'term' else 'long'}" for n, _ in NEAR_COLUMNS))
 
 
 def _mark(term: str) -> int:
@@ -170,7 +220,7 @@ def _marks(terms: DataFrame) -> bytes:
             yield pa.RecordBatch.from_arrays([pa.array(at[k : k + FLUSH], pa.int64())], names=["mark"])
 
     out = np.zeros(MARKS, np.bool_)
-    found = terms.mapInArrow(run, "mark long").distinct()
+    found = map_arrow(terms, run, "mark long").distinct()
     out[[r["mark"] for r in found.toLocalIterator()]] = True
     return np.packbits(out).tobytes()
 
@@ -187,7 +237,7 @@ def _documents_with(docs: DataFrame, terms: DataFrame) -> DataFrame:
         known: dict[str, str] = {}
         for batch in batches:
             found, digests = [], []
-            for text in texts_of(batch):
+            for text, digest in zip(texts_of(batch), batch.column("digest").to_pylist(), strict=True):
                 own = set()
                 for w in set(WORD.findall(text)):
                     t = known.get(w)
@@ -199,38 +249,52 @@ def _documents_with(docs: DataFrame, terms: DataFrame) -> DataFrame:
                     if t:
                         own.add(t)
                 found += own
-                digests += [_digest(text)] * len(own)
+                digests += [digest] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(digests, pa.int64())], names=["term", "digest"])
 
-    held = docs.mapInArrow(run, "term string, digest long").join(terms, "term", "left_semi").distinct()
+    held = map_arrow(docs, run, "term string, digest long").join(terms, "term", "left_semi").distinct()
     return held.groupBy("term").agg(F.count("*").alias("docs"))
 
 
+def _by_level(near: DataFrame) -> DataFrame:
+    """(level, entity, kind, term, digest, unit) of each near term, at each level; unit: what bears a disclosure out."""
+    at = lambda level, unit: F.struct(F.lit(level).alias("level"), F.col(level).alias("entity"), F.col(unit).alias("unit"))
+    each = near.withColumn("e", F.explode(F.array(at("value", "context"), at("class", "value"), at("kind", "value"))))
+    return each.select("e.level", "e.entity", "kind", "term", "digest", "e.unit")
+
+
 def disclosures(docs: DataFrame, near: DataFrame, scratch: Scratch) -> DataFrame:
-    """(entity, term, bits, share) of the terms ``near`` entities that disclose them."""
-    # Texts with the term near any entity are some of those that hold it: where they leave too small a share, so do all.
+    """(level, entity, term, both, share, bits) of the terms ``near`` protected values that disclose them."""
+    rows = _by_level(near)
+    # Texts with the term near any value are some of those that hold it: where they leave too small a share, so do all.
     around = near.select("term", "digest").distinct().groupBy("term").agg(F.count("*").alias("around"))
-    near = near.select("entity", "context", "term").distinct()
-    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= SUPPORT)
-    pairs = pairs.join(around, "term").filter(F.col("both") / F.greatest("around", "both") >= SHARE).drop("around")
+    pairs = rows.groupBy("level", "entity", "kind", "term").agg(F.count_distinct("unit").alias("units"), F.count_distinct("digest").alias("both")).filter(F.col("units") >= SUPPORT)
+    pairs = pairs.join(around, "term").filter((F.col("both") + PRIOR) / (F.col("around") + PRIOR) >= SHARE).drop("around")
     pairs = scratch.write(pairs, "pairs")
-    entities = near.groupBy("entity").agg(F.count_distinct("context").alias("of_entity")).join(pairs.select("entity").distinct(), "entity")
-    total = near.select("entity", "context").distinct().count()
+    # Texts of each entity, and of any: how likely each is anyway.
+    texts = lambda of, name: of.distinct().groupBy("entity").agg(F.count("*").alias(name))
+    entities = texts(rows.select("entity", "digest"), "with_it").join(pairs.select("entity").distinct(), "entity", "left_semi")
+    kinds = texts(rows.select(F.col("kind").alias("entity"), "digest"), "with_kind").withColumnRenamed("entity", "kind")  # as many rows as kinds
+    any_kind = near.select("digest").distinct().count()
+    total = float(max(1, docs.select("digest").distinct().count()))
     held = _documents_with(docs, pairs.select("term").distinct())
+    base, parent = F.col("with_it") / total, F.when(F.col("level") == "kind", F.lit(float(any_kind))).otherwise(F.col("with_kind")) / total
+    least = F.create_map(*[F.lit(x) for kv in BITS.items() for x in kv])[F.col("level")]
     judged = (
-        pairs.join(held, "term").join(entities, "entity")
-        # A term may stand in more contexts than documents; its share is of the larger number.
-        .withColumn("share", F.col("both") / F.greatest("docs", "both"))
-        .withColumn("bits", F.log2(F.col("share") * F.lit(float(total)) / F.col("of_entity")))
+        pairs.join(held, "term").join(entities, "entity").join(F.broadcast(kinds), "kind")
+        .withColumn("share", (F.col("both") + PRIOR * base) / (F.col("docs") + PRIOR))
+        .withColumn("bits", F.log2(F.col("share") / base))
+        .filter((F.col("share") >= SHARE) & (F.col("bits") >= F.greatest(least, -F.log2(parent))))
     )
-    return scratch.write(judged.filter((F.col("share") >= SHARE) & (F.col("bits") >= BITS)).select("entity", "term", "bits", "share"), "disclosures")
+    return scratch.write(judged.select("level", "entity", "term", "both", "share", "bits"), "disclosures")
 
 
 def _telling(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, digest, extra): the sorted places of each document's disclosing terms, only for documents with any."""
     near = scratch.write(_near_terms(docs), "near")
     told = disclosures(docs, near, scratch).select("entity", "term")
-    places = near.join(told, ["entity", "term"]).groupBy("doc_id", "digest").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("extra"))
+    each = near.select("doc_id", "digest", "term", "start", "end", F.explode(F.array("value", "class", "kind")).alias("entity"))
+    places = each.join(told, ["entity", "term"]).groupBy("doc_id", "digest").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("extra"))
     return scratch.write(places, "telling")
 
 
@@ -252,13 +316,12 @@ def clean(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[last:]])
 
 
-RESULT = "doc_id long, digest long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, base string"
+RESULT = "doc_id long, digest long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, own array<string>"
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, counts by kind, base_sha256 and spans of every document."""
-    bound_batches(docs.sparkSession)
-    chosen = need(docs, "doc_id", "text")
+    """doc_id, counts by kind, base_sha256, spans, and n_secret, n_term and n_spans of every document."""
+    chosen = _keyed(docs)
     extra = _telling(chosen, Scratch(docs.sparkSession, "pii"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,50 +329,47 @@ def find(docs: DataFrame) -> DataFrame:
             texts = texts_of(batch)
             spans = [base_spans(t) for t in texts]
             counts = [Counter(k for k, _, _ in x) for x in spans]
-            base = [joined(x) for x in spans]
+            own = [[f"{k}:{a}:{b}" for k, a, b in [*x, *secret_spans(t, x)]] for t, x in zip(texts, spans, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), pa.array([_digest(t) for t in texts], pa.int64()), *(pa.array([c[k] for c in counts], pa.int64()) for k in KINDS),
-                    pa.array([hashlib.sha256(x.encode()).hexdigest() for x in base], pa.string()), pa.array(base, pa.string()),
+                    batch.column("doc_id"), batch.column("digest"), *(pa.array([c[k] for c in counts], pa.int64()) for k in KINDS),
+                    pa.array([hashlib.sha256(joined(x).encode()).hexdigest() for x in spans], pa.string()), pa.array(own, pa.list_(pa.string())),
                 ],
-                names=["doc_id", "digest", *(f"n_{k}" for k in KINDS), "base_sha256", "base"],
+                names=["doc_id", "digest", *(f"n_{k}" for k in KINDS), "base_sha256", "own"],
             )
 
-    terms = F.transform("extra", lambda x: F.concat_ws(":", F.lit("term"), x["start"], x["end"]))
-    spans = F.array_join(F.concat(F.when(F.col("base") == "", F.array().cast("array<string>")).otherwise(F.array("base")), F.coalesce(terms, F.array().cast("array<string>"))), ",")
-    rows = _joined_extra(chosen.mapInArrow(run, RESULT), extra)
-    return rows.select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", spans.alias("spans"))
-
-
-def _joined_extra(rows: DataFrame, extra: DataFrame) -> DataFrame:
-    """Left join on (doc_id, digest); rows of a null doc_id match no extra places."""
-    return rows.join(extra, ["doc_id", "digest"], "left")
+    none = F.array().cast("array<string>")
+    terms = F.coalesce(F.transform("extra", lambda x: F.concat_ws(":", F.lit("term"), x["start"], x["end"])), none)
+    base = sum((F.col(f"n_{k}") for k in KINDS), F.lit(0))
+    size = lambda x: F.size(x).cast("long")
+    rows = map_arrow(chosen, run, RESULT).join(extra, ["doc_id", "digest"], "left")  # a null doc_id has no extra places
+    return rows.select(
+        "doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", F.array_join(F.concat("own", terms), ",").alias("spans"),
+        (size("own") - base).alias("n_secret"), size(terms).alias("n_term"), (size("own") + size(terms)).alias("n_spans"),
+    )
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """``docs`` with base values as [KIND] and disclosing terms as their shapes in ``text``; n_chars follows."""
-    bound_batches(docs.sparkSession)
-    extra = _telling(need(docs, "doc_id", "text"), Scratch(docs.sparkSession, "pii"))
+    """``docs`` with protected values as [KIND] and disclosing terms as their shapes in ``text``; n_chars follows.
 
-    @F.pandas_udf("long")
-    def digest(texts):
-        return texts.fillna("").map(_digest).astype("int64")
+    Extra columns of any name stay as they are.
+    """
+    bound_batches(docs.sparkSession)
+    extra = _telling(_keyed(docs), Scratch(docs.sparkSession, "pii"))
 
-    @F.pandas_udf("string")
+    @F.arrow_udf("string")
     def cleaned(texts, extras):
-        import pandas as pd
-
-        return pd.Series(
-            [t if t is None else clean(t, base_spans(t) + [("term", p["start"], p["end"]) for p in (e if e is not None else ())]) for t, e in zip(texts, extras, strict=True)], dtype=object
-        )
-
-    extra = extra.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__its_digest"), F.col("extra").alias("__extra"))
-    rows = docs.withColumn("__digest", digest("text")).join(
-        extra, (F.col("doc_id") == F.col("__id")) & (F.col("__digest") == F.col("__its_digest")), "left"
-    )
-    return rows.withColumn("text", cleaned("text", "__extra")).select(
-        *[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    )
+        out = [
+            t if t is None else clean(t, protected_spans(t) + [("term", p["start"], p["end"]) for p in e or ()])
+            for t, e in zip(texts.to_pylist(), extras.to_pylist(), strict=True)
+        ]
+        release()
+        return pa.array(out, pa.string())
+
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest")).join(extra, ["doc_id", "digest"], "left")
+    own = {"text": F.col("new"), "n_chars": F.length("new")}
+    rows = rows.select("row", cleaned("row.text", "extra").alias("new"))
+    return rows.select(*[own.get(c, F.col("row")[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
