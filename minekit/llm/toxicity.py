@@ -29,11 +29,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minekit.llm.common import WORD, Scratch, bound_batches, need, table, texts_of
+from minekit.llm.common import WORD, Scratch, map_arrow, need, table, texts_of
 from minekit.llm.stats import labelled_sample, remainder
 
-#: Labelled rows to learn from, lexicon terms, and letters of a stem, at most.
-SAMPLE, TERMS, STEM = 40_000, 400, 8
+#: Labelled rows to learn from, and letters of a stem, at most.
+SAMPLE, STEM = 40_000, 8
 #: A term's toxic documents at least, how many times likelier it is there, and its documents times the logarithm of that.
 SUPPORT, LIFT, EVIDENCE = 4, 4.0, 15.0
 #: A whole word of this weight, and of so many letters, may be misspelled by one edit; stems allow any ending.
@@ -216,14 +216,14 @@ class Lexicon:
         if not hits:
             return 0.0, 0.0, 0.0
         total = sum(w for _, _, w, _ in hits)
-        best, low = 0.0, 0
-        for k, (_, end, _, _) in enumerate(hits):
+        best, low, near = 0.0, 0, 0.0
+        for _, end, weight, _ in hits:
+            near += weight
             while hits[low][0] < end - 12 * WINDOW:
+                near -= hits[low][2]
                 low += 1
-            best = max(best, sum(h[2] for h in hits[low : k + 1]))
-            if best > 8:
-                break
-        return math.log1p(total), math.log1p(min(best, 8)), math.log1p(100 * total / len(WORD.findall(text)))
+            best = max(best, near)
+        return math.log1p(total), math.log1p(best), math.log1p(100 * total / len(WORD.findall(text)))
 
 
 # ---------------------------------------------------------------- learning
@@ -240,7 +240,7 @@ def _one_of_each(rows: DataFrame) -> DataFrame:
                 keys.append(xxhash.xxh3_64_hexdigest(repr(least)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "text", "toxic")), pa.array(keys, pa.string())], names=["doc_id", "text", "toxic", "key"])
 
-    keyed = rows.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "doc_id long, text string, toxic int, key string")
+    keyed = map_arrow(rows.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")), run, "doc_id long, text string, toxic int, key string")
     return keyed.groupBy("key", "toxic").agg(F.min_by("text", "doc_id").alias("text"))
 
 
@@ -262,17 +262,23 @@ def _term_counts(sample: DataFrame) -> DataFrame:
         for batch in batches:
             for text, label in zip(texts_of(batch), batch.column("toxic").to_pylist(), strict=True):
                 words = {EDGES.sub("", w) for w in set(WORD.findall(text.lower()))}
-                terms = {w + "$" for w in words if 3 <= len(w) <= 32}
+                terms = {w + "$" for w in words if len(w) >= 3}
                 terms.update(w[:k] for w in words for k in range(4, min(STEM, len(w)) + 1))
                 counts[label == 1].update(terms)
                 if len(counts[False]) + len(counts[True]) > FLUSH:
                     yield out()
         yield out()
 
-    return sample.mapInArrow(run, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    return map_arrow(sample, run, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
-def choose_terms(counts: dict[str, tuple[int, int]], toxic: int, other: int, most: int = TERMS) -> dict[str, tuple[bool, float]]:
+def telling(counts: DataFrame, toxic: int, other: int) -> DataFrame:
+    """The rows of ``counts`` (term, toxic, other) that pass every threshold; nothing else decides, and there is no most."""
+    lift = (F.col("toxic") + 0.5) / (toxic + 1) * (other + 1) / (F.col("other") + 0.5)
+    return counts.filter((F.col("toxic") >= SUPPORT) & (lift >= LIFT) & (F.col("toxic") * F.log(lift) >= EVIDENCE - 1e-6))
+
+
+def choose_terms(counts: dict[str, tuple[int, int]], toxic: int, other: int) -> dict[str, tuple[bool, float]]:
     """From counts of toxic and other documents by word (ending in $) and stem: the telling ones, weighed by how telling.
 
     Of nested stems, a shorter one stays only if it reaches a tenth more documents, and a
@@ -281,14 +287,15 @@ def choose_terms(counts: dict[str, tuple[int, int]], toxic: int, other: int, mos
     lift = {x: (a + 0.5) / (toxic + 1) * (other + 1) / (b + 0.5) for x, (a, b) in counts.items()}
     proof = {x: counts[x][0] * math.log(lift[x]) for x in counts if counts[x][0] >= SUPPORT and lift[x] >= LIFT}
     chosen: dict[str, float] = {}
+    below: dict[str, int] = {}  # by prefix: the most toxic documents of a chosen term that begins so
     for x in sorted((x for x in proof if proof[x] >= EVIDENCE), key=lambda x: (-round(proof[x], 6), -len(x), x)):
         weight = min(1.0, math.log(lift[x]) / 5)
         above = [x[:k] for k in range(1, len(x)) if x[:k] in chosen]
-        if any(weight <= chosen[y] + 0.1 for y in above) or any(y.startswith(x) and counts[y][0] >= 0.9 * counts[x][0] for y in chosen):
+        if any(weight <= chosen[y] + 0.1 for y in above) or below.get(x, 0) >= 0.9 * counts[x][0]:
             continue
         chosen[x] = weight
-        if len(chosen) >= most:
-            break
+        for k in range(1, len(x) + 1):
+            below[x[:k]] = max(below.get(x[:k], 0), counts[x][0])
     out: dict[str, tuple[bool, float]] = {}
     for x, weight in chosen.items():
         word = x.rstrip("$")
@@ -316,16 +323,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, keep_row: Column | None = None, sample: int = SAMPLE) -> ToxicityModel:
-    """Learn the lexicon and the curve; what reaches the driver is bounded by ``TERMS`` and ``SAMPLE``."""
-    bound_batches(docs.sparkSession)
+    """Learn the lexicon and the curve; all that reaches the driver comes from at most ``sample`` labelled rows."""
     rows = labelled_sample(docs, labels, "toxic", sample, keep_row=keep_row)
     scratch = Scratch(docs.sparkSession, "toxicity")
     rows = scratch.write(rows, "rows")  # ``sample`` rows at most
     one = scratch.write(_one_of_each(rows), "one")
     counts = _term_counts(one)
     sizes = {bool(x["toxic"] == 1): x["n"] for x in one.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    top = counts.filter(F.col("toxic") >= SUPPORT).orderBy(F.desc(F.col("toxic") * F.log((F.col("toxic") + 0.5) / (F.col("other") + 0.5) * 1e3)), "term")
-    known = {x["term"]: (x["toxic"], x["other"]) for x in top.limit(20 * TERMS).collect()}
+    known = {x["term"]: (x["toxic"], x["other"]) for x in telling(counts, sizes.get(True, 0), sizes.get(False, 0)).collect()}
     terms = choose_terms(known, sizes.get(True, 0), sizes.get(False, 0))
     draft = Lexicon(terms)
 
@@ -341,7 +346,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, keep_row: Column | None
                             found.update((word, word.translate(LEET)))
             yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["word"])
 
-    near = rows.mapInArrow(measure, "word string").distinct().orderBy("word").limit(50 * TERMS).collect() if terms else []
+    near = map_arrow(rows, measure, "word string").distinct().collect() if terms else []
     lexicon = Lexicon(terms, frozenset(x["word"] for x in near))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,7 +354,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, keep_row: Column | None
             x = np.array([lexicon.features(t) for t in texts_of(batch)]).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x[:, k]) for k in range(3)), batch.column("toxic").cast(pa.float64())], names=["doc_id", "a", "b", "c", "y"])
 
-    got = rows.mapInArrow(describe, "doc_id long, a double, b double, c double, y double").toPandas().sort_values("doc_id", kind="stable")
+    got = map_arrow(rows, describe, "doc_id long, a double, b double, c double, y double").toPandas().sort_values("doc_id", kind="stable")
     y = got["y"].to_numpy(float)
     if len(np.unique(y)) < 2:
         share = float(y.mean()) if len(y) else 0.0
@@ -359,7 +364,6 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, keep_row: Column | None
 
 def toxicity_scores(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """doc_id, score, n_hits, and spans: start:end of every hit, comma-joined."""
-    bound_batches(docs.sparkSession)
     lexicon, weights = model.lexicon, model.weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,7 +377,7 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel) -> DataFrame:
                 names=["doc_id", "score", "n_hits", "spans"],
             )
 
-    return need(docs, "doc_id", "text").mapInArrow(run, "doc_id long, score double, n_hits long, spans string")
+    return map_arrow(need(docs, "doc_id", "text"), run, "doc_id long, score double, n_hits long, spans string")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
