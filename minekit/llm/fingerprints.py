@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minekit.llm.common import bound_batches, need, partitions, table
+from minekit.llm.common import map_arrow, need, ranges_of, table
 from minekit.llm.near_dup import shingle_set
 
 WIDTH, SCALE = 5, 4
@@ -65,14 +65,13 @@ def decoded(x: str) -> np.ndarray:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fingerprint of every document: one pass, no shuffle."""
-    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [encoded(sketch(t or "")) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.string())], names=["doc_id", "fingerprint"])
 
-    return need(docs, "doc_id", "text").mapInArrow(run, "doc_id long, fingerprint string")
+    return map_arrow(need(docs, "doc_id", "text"), run, "doc_id long, fingerprint string")
 
 
 def in_ranges(docs: DataFrame) -> DataFrame:
@@ -85,7 +84,7 @@ def in_ranges(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     chosen = need(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    n = partitions(spark)
+    n = ranges_of(chosen)
     least, inner, nulls = docs.agg(
         F.min("doc_id"), F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 10 * n), F.count_if(F.col("doc_id").isNull())
     ).first()
@@ -119,7 +118,6 @@ def in_ranges(docs: DataFrame) -> DataFrame:
 
 def compare_with_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of texts, of texts whose second half is the start of the next document, and their likeness."""
-    bound_batches(docs.sparkSession)
     columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
@@ -144,8 +142,8 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
                 held = None if borrowed else (at, doc, text, made)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * len(types), types, strict=True)], names=columns)
 
-    return in_ranges(docs).mapInArrow(
-        run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    return map_arrow(
+        in_ranges(docs), run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )
 
 

@@ -1,11 +1,13 @@
 """Best-fit packing of token sequences by bin completion.
 
 Pieces of one length are alike, so the search runs on the histogram of lengths, at
-most ``capacity`` numbers whatever the corpus.  Bins are completed around the largest
-length left: undominated fillings are enumerated, the best-fit one first; a found
-filling is repeated as often as its lengths last.  If that first descent (the
-incumbent) misses the lower bound, depth-first branch and bound tries other fillings
-within a node budget, cutting branches whose waste cannot beat the incumbent.
+most ``capacity`` numbers whatever the corpus.  The first incumbent is best-fit
+decreasing.  If it misses the lower bound, bins are completed around the largest length
+left: undominated fillings are enumerated, the one of least waste first, and a found
+filling is repeated as often as its lengths last.  Depth-first branch and bound tries
+other fillings, cutting branches whose waste cannot beat the incumbent, until the bound
+is met or ``NODES`` nodes are spent; all pieces are packed in any case, and the budgets
+``FILLINGS``, ``STEPS`` and ``NODES`` only bound how long fewer sequences are sought.
 
 The n-th piece of each length then takes the n-th place for that length.  Its number
 comes from counts by (chunk, length) with prefix sums, so that no length, however
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from minekit.llm.common import Scratch, bound_batches, need, table
+from minekit.llm.common import Scratch, map_arrow, need, table
 from minekit.llm.token_files import crc32_of_ids
 from minekit.llm.tokens import encoder
 
@@ -79,11 +81,43 @@ def fillings(lengths: list[int], left: dict[int, int], room: int, most: int = FI
     return [x for _, x in found[:most]] or [()]
 
 
+def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Best-fit decreasing on a histogram: (lengths in a bin, number of such bins)."""
+    free: dict[int, list[tuple[tuple[int, ...], int]]] = {}  # by room left: bins of one content, and how many
+    out: list[tuple[tuple[int, ...], int]] = []
+
+    def put(whole: tuple[int, ...], times: int, room: int) -> None:
+        if times:
+            free.setdefault(room, []).append((whole, times)) if room else out.append((whole, times))
+
+    for x in sorted(counts, reverse=True):
+        n = counts[x]
+        while n:
+            rooms = [r for r in free if r >= x]
+            if not rooms:
+                each = capacity // x
+                put((x,) * each, n // each, capacity - each * x)
+                put((x,) * (n % each), int(n % each > 0), capacity - n % each * x)
+                break
+            room = min(rooms)
+            whole, times = free[room].pop()
+            used = min(n, times)
+            put(whole, times - used, room)
+            if not free[room]:
+                del free[room]
+            put((*whole, x), used, room - x)
+            n -= used
+    return out + [x for same in free.values() for x in same]
+
+
 def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
     """(lengths in a bin, number of such bins): as few bins as the search finds."""
     counts = {k: v for k, v in counts.items() if v}
     total = sum(k * v for k, v in counts.items())
-    bound, best, best_bins = -(-total // capacity), None, float("inf")
+    bound, best = -(-total // capacity), best_fit(counts, capacity)
+    best_bins, descended = sum(n for _, n in best), False
+    if best_bins == bound:
+        return best
 
     def choices(left: dict[int, int], first: bool) -> list[tuple[tuple[int, ...], int]]:
         lengths = sorted(left, reverse=True)
@@ -105,17 +139,18 @@ def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
         path = path[: len(stack)]
         if options is None:
             if not left:
+                descended = True
                 if bins < best_bins:
                     best, best_bins = list(path), bins
                 if best_bins == bound:
                     break
                 continue
-            spent += best is not None
+            spent += descended
             if spent > nodes:
                 break
             if bins + -(-sum(k * v for k, v in left.items()) // capacity) >= best_bins:
                 continue
-            options = choices(left, best is None)
+            options = choices(left, not descended)
         if not options:
             continue
         (whole, times), *rest = options
@@ -127,14 +162,14 @@ def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
             if not after[y]:
                 del after[y]
         stack.append((after, bins + times, None))
-    return best or []
+    return best
 
 
 def runs(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
     """By length: rows of (first number, uses in a bin, first bin, offset of the first use), ascending.
 
-    A pattern has few distinct lengths and each pattern of a descent uses one up, so
-    the rows are bounded by the capacity, not by the corpus.
+    A pattern has few distinct lengths, and each pattern uses up a length or a group of
+    like bins, so the rows are bounded by the capacity, not by the corpus.
     """
     out: dict[int, list[tuple[int, int, int, int]]] = {}
     used: dict[int, int] = {}
@@ -152,7 +187,6 @@ def runs(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
 
 def cut(docs: DataFrame, *, capacity: int = CAPACITY, end_id: int = 0, vocabulary: str | None = None) -> DataFrame:
     """Encode whole texts and cut what is longer than ``capacity``: a row for each piece, without its ids."""
-    bound_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +202,7 @@ def cut(docs: DataFrame, *, capacity: int = CAPACITY, end_id: int = 0, vocabular
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, schema, strict=True)], schema=schema)
 
-    return need(docs, "doc_id", "text").mapInArrow(run, PIECE_SCHEMA)
+    return map_arrow(need(docs, "doc_id", "text"), run, PIECE_SCHEMA)
 
 
 def pack(docs: DataFrame, *, capacity: int = CAPACITY, end_id: int = 0, vocabulary: str | None = None) -> DataFrame:
@@ -208,7 +242,7 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, end_id: int = 0, vocabula
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
             )
 
-    return numbered.mapInArrow(place, PIECE_SCHEMA + ", sequence_id long, offset long")
+    return map_arrow(numbered, place, PIECE_SCHEMA + ", sequence_id long, offset long")
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,11 +4,12 @@ The distinct pre-tokens of a batch are put in a trie.  The unigram forward score
 node (the best score of any segmentation of its prefix, and the number of pieces of that
 segmentation) depend on the path from the root alone, so they are computed once for all
 words that share the prefix: a node looks back over at most as many letters as the
-longest piece has.  Terminal nodes store their counts, and a text's count is the sum over
-its words.  Nothing is shuffled; a task holds the trie of one batch.
+longest piece has.  Terminal nodes store their counts, which a task keeps for the words
+of later batches, and a text's count is the sum over its words.  Nothing is shuffled; a
+task holds the trie of one batch and at most ``KEPT`` words' counts.
 
-The scores come from a vocabulary file (piece -> score); letters without a piece cost
-``UNKNOWN`` each and count as a piece each.  Of segmentations with equal scores, the one
+The scores are a unigram vocabulary's (piece -> log-probability), given as a mapping or
+as a file; letters without a piece cost ``UNKNOWN`` each and count as a piece each.  Of segmentations with equal scores, the one
 whose last piece is longest is counted.
 
 Defined cases: null or empty text, or white space alone, has no tokens; repeated rows are
@@ -24,12 +25,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from minekit.llm.common import bound_batches, need, table
+from minekit.llm.common import map_arrow, need, table
 
 #: The mark that begins a word in the vocabulary.
 SPACE = "▁"
 #: Below the score of any piece, as unigram models set it.
 UNKNOWN = 10.0
+#: Words whose counts a task keeps at most; beyond it, it forgets them and goes on.
+KEPT = 200_000
 
 
 def default_vocabulary() -> str:
@@ -41,17 +44,16 @@ def default_vocabulary() -> str:
 def piece_scores(path: str | None = None) -> dict[str, float]:
     """piece -> score of a vocabulary file's ordinary pieces.
 
-    The file's scores are ranks of merges; by Zipf's law a piece of rank r has a
-    log-probability near -log(r + shift), which is what the model uses.
+    Scores of a unigram file are log-probabilities and are used as they are.  A BPE file
+    has ranks of merges for scores; by Zipf's law a piece of rank r has a log-probability
+    near -log(r + shift), which is what the model uses then.
     """
     import sentencepiece
 
     p = sentencepiece.SentencePieceProcessor(model_file=path or default_vocabulary())
-    out = {}
-    for i in range(p.get_piece_size()):
-        if not (p.is_unknown(i) or p.is_control(i) or p.is_byte(i) or p.is_unused(i)):
-            out[p.id_to_piece(i)] = -float(np.log(i + 3.0))
-    return out
+    ids = [i for i in range(p.get_piece_size()) if not (p.is_unknown(i) or p.is_control(i) or p.is_byte(i) or p.is_unused(i))]
+    ranks = all(p.get_score(i) == int(p.get_score(i)) for i in ids)
+    return {p.id_to_piece(i): -float(np.log(i + 3.0)) if ranks else p.get_score(i) for i in ids}
 
 
 class UnigramTrie:
@@ -106,22 +108,22 @@ def trie(path: str | None = None) -> UnigramTrie:
     return _tries[path]
 
 
-def token_counts(docs: DataFrame, *, vocabulary: str | None = None) -> DataFrame:
-    """doc_id, n_words and n_tokens of every document."""
-    bound_batches(docs.sparkSession)
+def token_counts(docs: DataFrame, *, vocabulary: str | None = None, scores: dict[str, float] | None = None) -> DataFrame:
+    """doc_id, n_words and n_tokens of every document, by ``scores`` (piece -> log-probability) or those of a vocabulary file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = trie(vocabulary)
+        model = UnigramTrie(scores) if scores is not None else trie(vocabulary)
+        known: dict[str, int] = {"": 0}
         for batch in batches:
-            if not batch.num_rows:
-                continue
             split = pc.ascii_split_whitespace(pc.fill_null(batch.column("text"), ""))
             ends = np.asarray(split.offsets)
             coded = split.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
-            order = np.asarray(pc.sort_indices(coded.dictionary))
-            counts = np.zeros(len(order), np.int64)
-            words = coded.dictionary.take(pa.array(order)).to_pylist()
-            counts[order] = np.where([bool(w) for w in words], model.count([SPACE + w for w in words]), 0) if words else 0
+            words = coded.dictionary.to_pylist()
+            new = sorted({w for w in words if w not in known})
+            if len(known) + len(new) > KEPT:
+                known, new = {"": 0}, sorted({w for w in words if w})
+            known.update(zip(new, model.count([SPACE + w for w in new]).tolist(), strict=True))
+            counts = np.array([known[w] for w in words], np.int64)
             index = np.asarray(coded.indices)
             sums = np.concatenate([[0], np.cumsum(counts[index])])
             full = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(coded.dictionary)).astype(np.int64)[index] > 0)]) if len(index) else np.zeros(1, np.int64)
@@ -130,7 +132,7 @@ def token_counts(docs: DataFrame, *, vocabulary: str | None = None) -> DataFrame
                 [batch.column("doc_id"), pa.array(np.diff(full[at])), pa.array(np.diff(sums[at]))], names=["doc_id", "n_words", "n_tokens"]
             )
 
-    return need(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_words long, n_tokens long")
+    return map_arrow(need(docs, "doc_id", "text"), run, "doc_id long, n_words long, n_tokens long")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

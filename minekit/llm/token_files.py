@@ -24,8 +24,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from minekit.llm.common import Scratch, bound_batches, need, partitions, table
+from minekit.llm.common import Scratch, map_arrow, need, ranges_of, table
 from minekit.llm.tokens import encoder
 
 NULL_ID = -(1 << 63)
@@ -47,8 +48,6 @@ def crc32_of_ids(ids: bytes, width: int) -> int:
 
 def write_token_files(docs: DataFrame, root: str, *, end_id: int, vocabulary: str | None = None) -> list[dict]:
     """Encode ``docs`` (doc_id, text) into files under ``root``; the part table with bases, in order."""
-    spark = docs.sparkSession
-    bound_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -57,8 +56,6 @@ def write_token_files(docs: DataFrame, root: str, *, end_id: int, vocabulary: st
         end = np.array([end_id], enc.dtype).tobytes()
         files, name, n_docs, n_tokens = None, "", 0, 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
             if files is None:
                 store, top = _store(root)
                 store.create_dir(top, recursive=True)
@@ -81,11 +78,11 @@ def write_token_files(docs: DataFrame, root: str, *, end_id: int, vocabulary: st
                 [("part", pa.int32()), ("file", pa.string()), ("width", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]
             ))
 
-    ordered = (
-        need(docs, "doc_id", "text").repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    )
-    # One row for each file, as many as shuffle partitions: bounded whatever the input.
-    parts = sorted((x.asDict() for x in ordered.mapInArrow(run, PART_SCHEMA).collect()), key=lambda x: x["part"])
+    # The first letters of the text part the rows of one doc_id, should it have very many.
+    chosen = need(docs, "doc_id", "text")
+    ordered = chosen.repartitionByRange(ranges_of(chosen), F.col("doc_id"), F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
+    # One row for each file, of ``RANGE_BYTES`` of text or as many as shuffle partitions.
+    parts = sorted((x.asDict() for x in map_arrow(ordered, run, PART_SCHEMA).collect()), key=lambda x: x["part"])
     base = 0
     for x in parts:
         x["base"] = base
@@ -93,8 +90,22 @@ def write_token_files(docs: DataFrame, root: str, *, end_id: int, vocabulary: st
     return parts
 
 
-def open_part(root: str, part: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """ids, offsets and doc ids of one part, mapped into memory where the store is a file system."""
+class Ranged:
+    """An array in a file of a store without memory maps: slices are read by range, so it is never held whole."""
+
+    def __init__(self, file, dtype: str):
+        self.file, self.dtype = file, np.dtype(dtype)
+
+    def __len__(self) -> int:
+        return self.file.size() // self.dtype.itemsize
+
+    def __getitem__(self, at: slice) -> np.ndarray:
+        low, high, _ = at.indices(len(self))
+        return np.frombuffer(self.file.read_at(max(0, high - low) * self.dtype.itemsize, low * self.dtype.itemsize), self.dtype)
+
+
+def open_part(root: str, part: dict) -> tuple[np.ndarray | Ranged, ...]:
+    """ids, offsets and doc ids of one part: mapped into memory where the store is a file system, else read by range."""
     from pyarrow import fs
 
     store, top = _store(root)
@@ -104,8 +115,7 @@ def open_part(root: str, part: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray
         if isinstance(store, fs.LocalFileSystem):
             out.append(np.memmap(at, dtype, "r") if store.get_file_info(at).size else np.zeros(0, dtype))
         else:
-            with store.open_input_file(at) as file:
-                out.append(np.frombuffer(file.read(), dtype))
+            out.append(Ranged(store.open_input_file(at), dtype))
     return tuple(out)
 
 
@@ -128,7 +138,7 @@ def read_token_files(spark: SparkSession, root: str, parts: list[dict]) -> DataF
                         pa.array(doc, mask=doc == NULL_ID), pa.array(parts[k]["base"] + at[:-1]), pa.array(np.diff(at)), pa.array(crc, pa.int64())
                     ], schema=schema)
 
-    return spark.range(0, len(parts), 1, len(parts)).mapInArrow(run, DOC_SCHEMA)
+    return map_arrow(spark.range(0, len(parts), 1, len(parts)), run, DOC_SCHEMA)
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

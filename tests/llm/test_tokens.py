@@ -49,6 +49,19 @@ def test_files_round_trip(spark, edge_cases):
     assert flat.tolist() == [y for x in ids for y in x]
 
 
+def test_files_are_read_by_range(spark, edge_cases, monkeypatch):
+    """As from a store without memory maps."""
+    from pyarrow import fs
+
+    root = Scratch(spark, "test").path("files")
+    parts = token_files.write_token_files(edge_cases, root, end_id=2)
+    mapped = [[x[:].tolist() for x in token_files.open_part(root, p)] for p in parts]
+    monkeypatch.setattr(token_files, "_store", lambda root: (fs.SubTreeFileSystem("/", fs.LocalFileSystem()), root.removeprefix("file://")))
+    for part, want in zip(parts, mapped, strict=True):
+        got = token_files.open_part(root, part)
+        assert all(isinstance(x, token_files.Ranged) and len(x) == len(w) and x[:].tolist() == w and x[2:5].tolist() == w[2:5] and x[5:2].tolist() == [] for x, w in zip(got, want, strict=True))
+
+
 def test_empty_table(spark, documents):
     none = documents([(1, "x")]).limit(0)
     assert token_files.write_token_files(none, Scratch(spark, "test").path("none"), end_id=2) == []
