@@ -184,7 +184,7 @@ def plan(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
     sized = scratch.write(sized, "sized")
     sources = targets(sized, scratch)
     n_sources, documents = sources.count(), sized.count()
-    times = slots(sources).groupBy("s", "block").agg(F.count("*").alias("times"), F.min("shard").alias("shard"))
+    times = scratch.write(slots(sources).groupBy("s", "block").agg(F.count("*").alias("times"), F.min("shard").alias("shard")), "times")
     words = scratch.write(placed(sized.filter("size > 0"), documents), "placed")
     block, end = F.col("block"), F.col("start") + F.col("size")
     cut = (

@@ -185,20 +185,29 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _near_terms(docs: DataFrame) -> DataFrame:
-    """Every term near a protected value, with its place; context: a digest of the context's terms."""
+    """Every term near a protected value, with its place; context: a digest of the context's terms.
+
+    The other terms of such a text follow once each, without value or place: they show how
+    little of a term's texts the near ones are, before all texts are asked.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[list] = [[] for _ in NEAR_COLUMNS]
             for doc, digest, text in zip(batch.column("doc_id").to_pylist(), batch.column("digest").to_pylist(), texts_of(batch), strict=True):
-                spans = protected_spans(text)
+                spans, near = protected_spans(text), set()
                 for (kind, a, b), (_, _, terms) in zip(spans, contexts(text, spans), strict=True):
+                    near.update(t for t, _, _ in terms)
                     value, class_ = levels_of(text, kind, a, b)
                     entity = _number(f"value:{kind}:{value}"), _number(f"class:{kind}:{class_}"), _number(f"kind:{kind}")
                     context = _number(" ".join(sorted({t for t, _, _ in terms})))
                     for t, x, y in terms:
-                        for column, value in zip(rows, (doc, digest, *entity, context, t, x, y), strict=True):
-                            column.append(value)
+                        for column, item in zip(rows, (doc, digest, *entity, context, t, x, y), strict=True):
+                            column.append(item)
+                if spans:
+                    for t in {term_of(w) for w in set(WORD.findall(text))} - near - {""}:
+                        for column, item in zip(rows, (doc, digest, None, None, None, None, t, None, None), strict=True):
+                            column.append(item)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(rows, NEAR_COLUMNS, strict=True)], names=[n for n, _ in NEAR_COLUMNS])
 
     return map_arrow(docs, run, ", ".join(f"`{n}` {'string' if n == 'term' else 'long'}" for n, _ in NEAR_COLUMNS))
@@ -265,9 +274,10 @@ def _by_level(near: DataFrame) -> DataFrame:
 
 def disclosures(docs: DataFrame, near: DataFrame, scratch: Scratch) -> DataFrame:
     """(level, entity, term, both, share, bits) of the terms ``near`` protected values that disclose them."""
-    rows = _by_level(near)
-    # Texts with the term near any value are some of those that hold it: where they leave too small a share, so do all.
+    # Texts with any value that hold the term are some of those that hold it: where they leave too small a share, so do all.
     around = near.select("term", "digest").distinct().groupBy("term").agg(F.count("*").alias("around"))
+    near = near.filter("value is not null")
+    rows = _by_level(near)
     pairs = rows.groupBy("level", "entity", "kind", "term").agg(F.count_distinct("unit").alias("units"), F.count_distinct("digest").alias("both")).filter(F.col("units") >= SUPPORT)
     pairs = pairs.join(around, "term").filter((F.col("both") + PRIOR) / (F.col("around") + PRIOR) >= SHARE).drop("around")
     pairs = scratch.write(pairs, "pairs")
@@ -293,7 +303,7 @@ def _telling(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, digest, extra): the sorted places of each document's disclosing terms, only for documents with any."""
     near = scratch.write(_near_terms(docs), "near")
     told = disclosures(docs, near, scratch).select("entity", "term")
-    each = near.select("doc_id", "digest", "term", "start", "end", F.explode(F.array("value", "class", "kind")).alias("entity"))
+    each = near.filter("value is not null").select("doc_id", "digest", "term", "start", "end", F.explode(F.array("value", "class", "kind")).alias("entity"))
     places = each.join(told, ["entity", "term"]).groupBy("doc_id", "digest").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("extra"))
     return scratch.write(places, "telling")
 

@@ -35,10 +35,10 @@ DOC_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def _store(root: str):
-    """The file system and path of a folder that every executor reaches."""
+    """The file system and path of a folder that every executor reaches: a shared mount, or a store that pyarrow knows."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(root)
+    return fs.FileSystem.from_uri("s3://" + root[6:] if root.startswith("s3a://") else root)
 
 
 def crc32_of_ids(ids: bytes, width: int) -> int:
