@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Names of attributes, ambiences and defaults that the features are defined by.
-FLAGS = ("BikeParking", "BusinessAcceptsCreditCards", "GoodForKids", "HasTV", "OutdoorSeating", "RestaurantsDelivery", "RestaurantsTakeOut")
+FLAGS = ("BusinessAcceptsCreditCards", "RestaurantsTakeOut", "RestaurantsReservations", "RestaurantsDelivery", "WheelchairAccessible", "OutdoorSeating", "HasTV")
 AMBIENCES = ("romantic", "intimate", "classy", "hipster", "divey", "touristy", "trendy", "upscale", "casual")
+PRESENT = ("Alcohol", "GoodForKids")
 DEFAULT_STARS, DEFAULT_PRICE, DEFAULT_PLACE, THIS_YEAR = 3.0, 2, 0.5, 2022
 
 
@@ -61,26 +62,31 @@ def side_counts(checkins: DataFrame, photos: DataFrame, tips: DataFrame) -> tupl
 
 
 def assemble(ratings: DataFrame, users: DataFrame, items: DataFrame, *extra: tuple[DataFrame, list[str]]) -> DataFrame:
-    """Ratings with all features left-joined, missing as null; a vector column ``features`` keeps them as NaN."""
-    from pyspark.ml.feature import VectorAssembler
-
+    """Ratings (user_id, business_id, stars_given) with all features left-joined, missing as null; no tip has 0 likes."""
     out = ratings.join(users, "user_id", "left").join(items, "business_id", "left")
     for frame, keys in extra:
         out = out.join(frame, keys, "left")
-    names = [c for c in out.columns if c not in ("user_id", "business_id", "stars_given")]
-    return VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep").transform(out)
+    return out.fillna({"likes": 0}) if "likes" in out.columns else out
+
+
+def vectors(assembled: DataFrame) -> DataFrame:
+    """``assembled`` with a vector column ``features`` of all its features, missing ones as NaN."""
+    from pyspark.ml.feature import VectorAssembler
+
+    names = [c for c in assembled.columns if c not in ("user_id", "business_id", "stars_given")]
+    return VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep").transform(assembled)
 
 
 def ambience_profile(items: DataFrame, ambience: str = "Ambience") -> DataFrame:
-    """(business_id, f, v): two flags for attributes and ambience present, and one for each ambience.
+    """(business_id, f, v): whether each of ``PRESENT`` is given, whatever its value, and a flag for each ambience.
 
     The ambience is a dictionary written as text with single quotes and True or False.
     """
     text = F.try_element_at("attributes", F.lit(ambience))
     fixed = F.replace(F.replace(F.replace(text, F.lit("'"), F.lit('"')), F.lit("True"), F.lit("true")), F.lit("False"), F.lit("false"))
     parsed = F.from_json(fixed, "map<string,boolean>")
-    flags = [F.col("attributes").isNotNull(), text.isNotNull(), *[F.coalesce(F.try_element_at(parsed, F.lit(x)), F.lit(False)) for x in AMBIENCES]]
-    cells = F.array(*[F.struct(F.lit(k).alias("f"), x.cast("double").alias("v")) for k, x in enumerate(flags)])
+    flags = [*[F.try_element_at("attributes", F.lit(x)).isNotNull() for x in PRESENT], *[F.coalesce(F.try_element_at(parsed, F.lit(x)), F.lit(False)) for x in AMBIENCES]]
+    cells = F.array(*[F.struct(F.lit(k).alias("f"), F.coalesce(x, F.lit(False)).cast("double").alias("v")) for k, x in enumerate(flags)])
     return items.select("business_id", F.explode(cells).alias("c")).select("business_id", "c.f", "c.v")
 
 
