@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,3 +54,43 @@ def popular_only(rows: DataFrame, train: DataFrame, item: str, least: int = 20)
     """The rows whose item has so many training rows."""
     popular = train.groupBy(item).agg(F.count("*").alias("__n")).filter(F.col("__n") >= least).select(item)
     return rows.join(popular, item, "left_semi")
+
+
+def timed_profile(rows: DataFrame, key: str, n: int = 30, *, least: int = 50) -> DataFrame:
+    """(kind, n_partition, n_items, exe_time): as Spark has the rows, and dealt by key to ``n`` partitions.
+
+    ``n_items`` lists the rows of each partition; the time is that of the ten keys of
+    fewest rows.  Where the default has fewer than ``least`` rows, by its number of
+    partitions times the first's size, the dealt rows are one partition.
+    """
+    spark, out = rows.sparkSession, []
+    sizes: list[int] = []
+    for kind in ("default", "customized"):
+        if kind == "customized":
+            n = 1 if len(sizes) * sizes[0] < least else n
+        dealt = rows if kind == "default" else rows.repartition(n, key)
+        began = time.time()
+        top_k(dealt, key, bottom=True).collect()
+        took = time.time() - began
+        found = {r["pid"]: r["n_items"] for r in actual_partitions(dealt).collect()}  # a row for each partition
+        parts = max(found, default=-1) + 1 if kind == "default" else n
+        sizes = [found.get(k, 0) for k in range(parts)] or [0]
+        out.append((kind, len(sizes), sizes, took))
+    return spark.createDataFrame(out, "kind string, n_partition long, n_items array<long>, exe_time double")
+
+
+def timed_top(groups: DataFrame, key: str, value: str, k: int = 10, *, most: int = 1_000_000) -> DataFrame:
+    """(way, keys, exe_time): the k groups of greatest value, sorted on the driver ("m1") and by Spark ("m2").
+
+    More than ``most`` groups are not collected; "m1" is left out then.
+    """
+    spark, out = groups.sparkSession, []
+    began = time.time()
+    few = groups.select(key, value).limit(most + 1).collect()
+    if len(few) <= most:
+        first = sorted(few, key=lambda r: (-r[value], r[key]))[:k]
+        out.append(("m1", [str(r[key]) for r in first], time.time() - began))
+    began = time.time()
+    top = groups.orderBy(F.desc(value), key).limit(k).collect()
+    out.append(("m2", [str(r[key]) for r in top], time.time() - began))
+    return spark.createDataFrame(out, "way string, keys array<string>, exe_time double")

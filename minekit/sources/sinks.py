@@ -1,6 +1,8 @@
 """Sinks: metrics as JSON, CSV with header, and the text reports of each analysis.
 
-Reports are built as one column of lines in order; a single writer keeps that order.
+Reports are built as one column of lines in order; a single writer keeps that order.  A
+line of an itemset report holds all sets of a size, and one of a community report all its
+nodes, so these reports are for results that a person reads; ``write_csv`` has no such bound.
 """
 
 from __future__ import annotations
@@ -19,6 +21,41 @@ def write_csv(rows: DataFrame, path: str, *order: Column | str) -> None:
     (rows.orderBy(*order) if order else rows).write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_means(means: DataFrame, path: str, place: str = "city", mean: str = "stars") -> None:
+    """place,mean lines under their header as one file, greatest mean first, then by place."""
+    named = means.select(F.col(means.columns[0]).alias(place), F.col(means.columns[1]).alias(mean))
+    named.orderBy(F.desc(mean), place).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_features(rows: DataFrame, path: str, *order: Column | str) -> None:
+    """CSV with header of a feature table: arrays and vectors become a column for each element, x_0, x_1, ...
+
+    All rows of such a column must have as many elements as the first row has.
+    """
+    from pyspark.ml.functions import vector_to_array
+
+    first = rows.first()
+    columns = []
+    for name, kind in rows.dtypes:
+        if kind == "vector" or kind.startswith("array"):
+            values = vector_to_array(F.col(name)) if kind == "vector" else F.col(name)
+            columns += [values[k].alias(f"{name}_{k}") for k in range(len(first[name]) if first else 0)]
+        else:
+            columns.append(F.col(name))
+    write_csv(rows.select(*columns), path, *order)
+
+
+def write_similar(pairs: DataFrame, path: str) -> None:
+    """business_id_1,business_id_2,similarity lines of (a, b, similarity) under their header, by pair."""
+    named = pairs.select(F.col("a").alias("business_id_1"), F.col("b").alias("business_id_2"), "similarity")
+    write_csv(named, path, "business_id_1", "business_id_2")
+
+
+def write_predictions(rows: DataFrame, path: str) -> None:
+    """user_id,business_id,prediction lines of (u, i, p) under their header."""
+    write_csv(rows.select(F.col("u").alias("user_id"), F.col("i").alias("business_id"), F.col("p").alias("prediction")), path)
+
+
 def _quoted(x: Column) -> Column:
     return F.concat(F.lit("'"), x, F.lit("'"))
 
