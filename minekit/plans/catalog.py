@@ -98,14 +98,15 @@ def _(spark, d):
 
 # ---------------------------------------------------------------- frequent itemsets
 
-SUPPORT, TOP = 20, 3
+#: The least support, as SQL, and itemset sizes that the SQL goes to: more than any level here that is not empty.
+SUPPORT, TOP = "(SELECT support FROM asked)", 8
 
 
 def _shown(found: DataFrame) -> DataFrame:
     return found.select(F.array_join(F.transform("itemset", lambda x: x.cast("string")), ",").alias("itemset"), F.size("itemset").cast("long").alias("size"), "count")
 
 
-def _itemset_sql(where: str = "", by: str = "", least: str = f"{SUPPORT}", most: int = TOP) -> str:
+def _itemset_sql(where: str = "", by: str = "", least: str = SUPPORT, most: int = TOP) -> str:
     """Levels 1 to ``most`` as CTEs; by: a column of ``held`` that sets are counted within."""
     b = f"{by}, " if by else ""
     same = f" AND h.{by} = i.{by}" if by else ""
@@ -125,36 +126,41 @@ _PAIRS = f"WITH {fx.BASKETS}, dealt AS (SELECT * FROM baskets), {_itemset_sql(mo
 
 @query("frequent_itemsets", _FREQUENT)
 def _(spark, d):
-    return _shown(itemsets.apriori(fx.baskets(spark, d), SUPPORT))
+    rows = cut(fx.baskets(spark, d))
+    return _shown(itemsets.apriori(rows, fx.support(rows)))
 
 
 @query("frequent_pairs_pcy", _PAIRS)
 def _(spark, d):
-    return _shown(itemsets.pcy(fx.baskets(spark, d), SUPPORT, most=2))
+    rows = cut(fx.baskets(spark, d))
+    return _shown(itemsets.pcy(rows, fx.support(rows), most=2))
 
 
 @query("multihash_pairs", _PAIRS)
 def _(spark, d):
-    return _shown(itemsets.multi_hash(fx.baskets(spark, d), SUPPORT))
+    rows = cut(fx.baskets(spark, d))
+    return _shown(itemsets.multi_hash(rows, fx.support(rows)))
 
 
 @query("pcy_bitmap", f"""WITH {fx.BASKETS} SELECT bucket, count(*) AS n FROM (
   SELECT (((a.item * 31 + b.item) % 2147483647) * 7 + 3) % 1009 AS bucket FROM baskets a JOIN baskets b ON a.basket = b.basket AND a.item < b.item) GROUP BY 1 HAVING count(*) >= {SUPPORT}""")
 def _(spark, d):
-    rows = fx.baskets(spark, d)
+    rows = cut(fx.baskets(spark, d))
     pairs = rows.join(rows.withColumnRenamed("item", "other"), "basket").filter("item < other").select(F.array("item", "other").alias("itemset"))
-    return itemsets.bitmap(pairs, SUPPORT, 1009, 7, 3)
+    return itemsets.bitmap(pairs, fx.support(rows), 1009, 7, 3)
 
 
-@query("son_candidates", f"WITH {fx.BASKETS}, dealt AS (SELECT basket, item, basket % 4 AS chunk FROM baskets), {_itemset_sql(by='chunk', least=f'{SUPPORT / 4}', most=2)} SELECT DISTINCT {_LISTED} FROM (SELECT s FROM h1 UNION ALL SELECT s FROM h2)")
+@query("son_candidates", f"WITH {fx.BASKETS}, dealt AS (SELECT basket, item, basket % 4 AS chunk FROM baskets), {_itemset_sql(by='chunk', least='(SELECT support / 4 FROM asked)', most=2)} SELECT DISTINCT {_LISTED} FROM (SELECT s FROM h1 UNION ALL SELECT s FROM h2)")
 def _(spark, d):
-    found = itemsets.son_candidates(fx.baskets(spark, d), SUPPORT, 4, F.col("basket"), most=2)
+    rows = cut(fx.baskets(spark, d))
+    found = itemsets.son_candidates(rows, fx.support(rows), 4, F.col("basket"), most=2)
     return _shown(found.withColumn("count", F.lit(0))).drop("count")
 
 
-@query("son_frequent", _PAIRS)
+@query("son_frequent", _FREQUENT)
 def _(spark, d):
-    return _shown(itemsets.son(fx.baskets(spark, d), SUPPORT, 4, F.col("basket")))
+    rows = cut(fx.baskets(spark, d))
+    return _shown(itemsets.son(rows, fx.support(rows), 4, F.col("basket")))
 
 
 # ---------------------------------------------------------------- similarity
@@ -266,6 +272,15 @@ def _(spark, d):
     return cf.hybrid(found, model).select("u", "i", *_six("p"))
 
 
+@query("hybrid_with_trees")
+def _(spark, d):
+    """The neighbours' prediction where there are any, else that of boosted trees on user and item features."""
+    _, test, found = _predicted(spark, d, 0.12)
+    train, rows, names = _learnable(spark, d)
+    model = models.apply(models.boosted_trees(train, names), rows, names).select("u", "i", F.col("p").alias("m"))
+    return cf.hybrid(found, model)
+
+
 @query("neighbour_counts", f"WITH {_TRAIN}, {_PEARSON} SELECT t.u, t.i, count(*) AS n FROM test t JOIN train r ON r.u = t.u JOIN weights w ON w.i = t.i AND w.j = r.i GROUP BY 1, 2")
 def _(spark, d):
     train, test = _split(spark, d)
@@ -324,14 +339,15 @@ def _(spark, d):
 
 @query("item_features", """SELECT CAST(s_suppkey AS VARCHAR) AS business_id, s_suppkey % 50 AS review_count, s_suppkey % 9 / 2.0::DOUBLE + 0.5 AS stars,
   CASE WHEN s_suppkey % 6 <> 5 THEN CAST(s_suppkey % 4 + 1 AS INT) ELSE 2 END AS price,
-  CASE WHEN s_suppkey % 6 <> 5 AND s_suppkey % 3 = 0 THEN 1 ELSE 0 END AS "BikeParking", 0 AS "BusinessAcceptsCreditCards", 0 AS "GoodForKids",
-  CASE WHEN s_suppkey % 6 <> 5 AND s_suppkey % 2 = 0 THEN 1 ELSE 0 END AS "HasTV", 0 AS "OutdoorSeating", 0 AS "RestaurantsDelivery", 0 AS "RestaurantsTakeOut",
+  CASE WHEN s_suppkey % 6 <> 5 AND s_suppkey % 3 = 0 THEN 1 ELSE 0 END AS "RestaurantsTakeOut", 0 AS "BusinessAcceptsCreditCards", 0 AS "RestaurantsReservations",
+  CASE WHEN s_suppkey % 6 <> 5 AND s_suppkey % 2 = 0 THEN 1 ELSE 0 END AS "HasTV", 0 AS "OutdoorSeating", 0 AS "RestaurantsDelivery",
+  CASE WHEN s_suppkey % 6 <> 5 AND s_suppkey % 7 = 0 THEN 1 ELSE 0 END AS "WheelchairAccessible",
   s_suppkey % 2 AS is_open, round((s_acctbal + 180) / 360, 6) AS longitude, 0.5::DOUBLE AS latitude, length(s_name) AS categories FROM supplier""")
 def _(spark, d):
     return features.item_features(fx.items(spark, d), 2).withColumn("longitude", F.round("longitude", 6))
 
 
-_PROFILE = """profile AS MATERIALIZED (SELECT s_suppkey AS i, unnest([0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10]) AS f, unnest([CASE WHEN s_suppkey % 6 <> 5 THEN 1 ELSE 0 END, CASE WHEN s_suppkey % 6 <> 5 THEN 1 ELSE 0 END,
+_PROFILE = """profile AS MATERIALIZED (SELECT s_suppkey AS i, unnest([0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10]) AS f, unnest([CASE WHEN s_suppkey % 6 <> 5 AND s_suppkey % 4 <> 1 THEN 1 ELSE 0 END, CASE WHEN s_suppkey % 6 <> 5 AND s_suppkey % 3 <> 2 THEN 1 ELSE 0 END,
   CASE WHEN s_suppkey % 6 <> 5 AND s_suppkey % 2 = 0 THEN 1 ELSE 0 END, 0, CASE WHEN s_suppkey % 6 <> 5 AND s_suppkey % 3 = 0 THEN 1 ELSE 0 END, 0, 0, 0, 0, 0,
   CASE WHEN s_suppkey % 6 <> 5 AND s_suppkey % 5 = 0 THEN 1 ELSE 0 END]) AS v FROM supplier)"""
 
@@ -346,6 +362,41 @@ def _(spark, d):
     return features.content_scores(train, profile, test).select("u", "i", *_six("score"))
 
 
+@query("item_features_basic", """SELECT CAST(s_suppkey AS VARCHAR) AS business_id, s_suppkey % 50 AS review_count, s_suppkey % 9 / 2.0::DOUBLE + 0.5 AS stars FROM supplier""")
+def _(spark, d):
+    return features.item_features(fx.items(spark, d))
+
+
+@query("checkin_photo_counts", f"""WITH {fx.SIDES} SELECT CAST(coalesce(c.i, p.i) AS VARCHAR) AS business_id, slots, photos FROM checkins c FULL JOIN photos p ON c.i = p.i""")
+def _(spark, d):
+    return features.side_counts(*fx.sides(spark, d))[0].select("business_id", F.col("slots").cast("long").alias("slots"), "photos")
+
+
+@query("tip_likes", f"WITH {fx.SIDES} SELECT CAST(u AS VARCHAR) AS user_id, CAST(i AS VARCHAR) AS business_id, likes FROM tips")
+def _(spark, d):
+    return features.side_counts(*fx.sides(spark, d))[1]
+
+
+@query("assembled_features", f"""WITH {_TRAIN}, {fx.SIDES} SELECT t.u, t.i, round(r, 6) AS r, s_suppkey % 50 AS item_reviews, s_suppkey % 9 / 2.0::DOUBLE + 0.5 AS stars,
+  CASE WHEN s_suppkey % 6 <> 5 THEN CAST(s_suppkey % 4 + 1 AS INT) ELSE 2 END AS price, slots, photos, c_custkey % 97 AS review_count, c_acctbal AS average_stars,
+  c_custkey % 7 + c_custkey % 5 + c_custkey % 3 AS liked, likes FROM train t LEFT JOIN supplier ON s_suppkey = t.i LEFT JOIN customer ON c_custkey = t.u
+  LEFT JOIN checkins c ON c.i = t.i LEFT JOIN photos p ON p.i = t.i LEFT JOIN tips x ON x.u = t.u AND x.i = t.i""")
+def _(spark, d):
+    return _assembled(spark, d, _split(spark, d)[0]).select(
+        F.col("user_id").cast("long").alias("u"), F.col("business_id").cast("long").alias("i"), F.round("stars_given", 6).alias("r"),
+        "item_reviews", "stars", "price", "slots", "photos", "review_count", "average_stars", "liked", "likes",
+    )
+
+
+def _assembled(spark, d, rated: DataFrame) -> DataFrame:
+    """The 23 features of (u, i, r)."""
+    ids = [F.col("u").cast("string").alias("user_id"), F.col("i").cast("string").alias("business_id")]
+    items = features.item_features(fx.items(spark, d), 2).withColumnRenamed("review_count", "item_reviews")
+    by_item, likes = features.side_counts(*fx.sides(spark, d))
+    by_item = by_item.withColumn("slots", F.col("slots").cast("long"))
+    return features.assemble(rated.select(*ids, F.col("r").alias("stars_given")), features.user_features(fx.users(spark, d), 2), items, (by_item, ["business_id"]), (likes, ["user_id", "business_id"]))
+
+
 def _learnable(spark, d) -> tuple[DataFrame, DataFrame, list[str]]:
     """Train and test ratings with user and item features and label y."""
     users = features.user_features(fx.users(spark, d)).withColumn("u", F.col("user_id").cast("long")).drop("user_id")
@@ -358,21 +409,21 @@ def _learnable(spark, d) -> tuple[DataFrame, DataFrame, list[str]]:
 @query("gbt_predictions")
 def _(spark, d):
     train, test, names = _learnable(spark, d)
-    model = models.boosted_trees(train, names, trees=5, depth=4)
+    model = models.boosted_trees(train, names)
     return models.apply(model, test, names).select("u", "i", "p")
 
 
 @query("als_predictions")
 def _(spark, d):
     train, test = _split(spark, d)
-    return models.factor_predictions(models.factorise(train, rank=5, iterations=5), test, train.agg(F.avg("r")).first()[0])
+    return models.factor_predictions(models.factorise(train), test, train.agg(F.avg("r")).first()[0])
 
 
 @query("model_selector")
 def _(spark, d):
     train, test, names = _learnable(spark, d)
     with_both = lambda x: x.join(train.groupBy("u").agg(F.avg("y").alias("a")), "u").join(train.groupBy("i").agg(F.avg("y").alias("b")), "i")
-    model = models.select_model(with_both(train), [*names, "a", "b"], trees=3)
+    model = models.select_model(with_both(train), [*names, "a", "b"])
     return models.select_predictions(model, with_both(test), [*names, "a", "b"]).select("u", "i", "p")
 
 
@@ -465,6 +516,26 @@ def _(spark, d):
     return clustering.assign(fx.points(spark, d), clustering.centres(_by_label(spark, d)), 64).select("id", "cluster")
 
 
+_CELLS = """cells AS MATERIALIZED (SELECT label, vec_id % 7 AS cluster, count(*) AS n FROM embeddings GROUP BY 1, 2)"""
+
+
+def _grouped(spark, d) -> DataFrame:
+    """Points with a cluster that partly follows their label."""
+    return fx.points(spark, d).withColumn("cluster", F.col("id") % 7)
+
+
+@query("cluster_contingency", f"WITH {_CELLS} SELECT label, cluster, n FROM cells")
+def _(spark, d):
+    return clustering.contingency(_grouped(spark, d))
+
+
+@query("cluster_quality", f"""WITH {_CELLS}, c AS (SELECT label, sum(n) AS n FROM cells GROUP BY 1), k AS (SELECT cluster, sum(n) AS n FROM cells GROUP BY 1), t AS (SELECT sum(n) AS n FROM cells)
+  SELECT round((SELECT sum(n) FROM cells WHERE label = cluster) / (SELECT n FROM t), 6) AS accuracy,
+  round(1 - (SELECT sum(cells.n / t.n * ln(cells.n / c.n)) FROM cells JOIN c USING (label), t) / (SELECT sum(k.n / t.n * ln(k.n / t.n)) FROM k, t), 6) AS completeness""")
+def _(spark, d):
+    return clustering.quality(_grouped(spark, d)).select(*_six("accuracy", "completeness"))
+
+
 @query("bfr_rounds")
 def _(spark, d):
     return clustering.bfr(fx.points(spark, d), 10, 64)[0]
