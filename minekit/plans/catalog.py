@@ -150,17 +150,17 @@ def _(spark, d):
     return itemsets.bitmap(pairs, fx.support(rows), 1009, 7, 3)
 
 
-@query("son_candidates", f"WITH {fx.BASKETS}, dealt AS (SELECT basket, item, basket % 4 AS chunk FROM baskets), {_itemset_sql(by='chunk', least='(SELECT support / 4 FROM asked)', most=2)} SELECT DISTINCT {_LISTED} FROM (SELECT s FROM h1 UNION ALL SELECT s FROM h2)")
+@query("son_candidates", f"WITH {fx.BASKETS}, dealt AS (SELECT basket, item, basket % 2 AS chunk FROM baskets), {_itemset_sql(by='chunk', least='(SELECT support / 2 FROM asked)', most=2)} SELECT DISTINCT {_LISTED} FROM (SELECT s FROM h1 UNION ALL SELECT s FROM h2)")
 def _(spark, d):
     rows = cut(fx.baskets(spark, d))
-    found = itemsets.son_candidates(rows, fx.support(rows), 4, F.col("basket"), most=2)
+    found = itemsets.son_candidates(rows, fx.support(rows), 2, F.col("basket"), most=2)
     return _shown(found.withColumn("count", F.lit(0))).drop("count")
 
 
 @query("son_frequent", _FREQUENT)
 def _(spark, d):
     rows = cut(fx.baskets(spark, d))
-    return _shown(itemsets.son(rows, fx.support(rows), 4, F.col("basket")))
+    return _shown(itemsets.son(rows, fx.support(rows), 2, F.col("basket")))
 
 
 # ---------------------------------------------------------------- similarity
