@@ -88,6 +88,19 @@ def test_itemsets_agree(baskets, way):
     assert {tuple(r["itemset"]): r["count"] for r in made.collect()} == brute(data, 12)
 
 
+def test_counting_given_sets(spark, baskets):
+    """Sets that are closed under subsets, and any others."""
+    data, df = baskets
+    every = brute(data, 0)
+    closed = [c for c in every if set(c) <= {0, 1, 2, 3} or c == (5,)]
+    given = spark.createDataFrame([(list(c),) for c in closed], "itemset array<int>")
+    want = {c: every[c] for c in closed if every[c]}
+    assert {tuple(r["itemset"]): r["count"] for r in itemsets.count_closed(df, given).collect()} == want
+    some = [(0, 3, 7), (1,), (2, 5), (0, 1, 2, 3, 4, 5)]
+    got = itemsets.count_candidates(df, spark.createDataFrame([(list(c),) for c in [*some, (6, 99)]], "itemset array<int>"))
+    assert {tuple(r["itemset"]): r["count"] for r in got.collect()} == {c: every[c] for c in some if every[c]}
+
+
 @pytest.mark.parametrize("name", ["frequent_itemsets", "son_frequent"])
 def test_queries_of_itemsets_go_on_until_a_level_is_empty(spark, monkeypatch, name):
     data = {(b, i) for b in range(40) for i in ((0, 1, 2, 3, 4) if b % 8 < 5 else (b % 8, 2, 3))}
