@@ -53,7 +53,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what the last returns."""
     scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        done = scratch.write(stage(spark, docs, sf_dir), name)
-        scratch.drop(docs)
+        made = stage(spark, docs, sf_dir)
+        done = scratch.write(made, name)
+        scratch.drop(docs, made)
         docs = done
     return docs

@@ -1,7 +1,9 @@
 """Quality of documents: an isolation forest over rule statistics, and a sparse rule ensemble.
 
-Both models are fitted on the driver from at most ``SAMPLE`` labelled rows (statistics
-only, never texts); every document is scored, and nothing else is sampled.
+The forest's scales, box and threshold are exact over all labelled rows, and its trees
+draw from all of them; only the rows drawn come to the driver.  The ensemble is fitted
+on the driver from at most ``SAMPLE`` labelled rows.  Both see statistics only, never
+texts, and every document is scored.
 
 Defined cases: null text counts as empty and fails the base rules; it gets a score
 from its all-zero statistics.  Repeated rows are scored each.  An empty table gives no
@@ -16,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minekit.llm.common import bound_batches, release, table
-from minekit.llm.stats import COUNTS, FEATURES, labelled_sample, measured, remainder, with_stats
+from minekit.llm.common import Scratch, bound_batches, release, table
+from minekit.llm.stats import COUNTS, FEATURES, at_places, labelled, labelled_sample, measured, remainder, with_stats
 
-#: Labelled rows that a model is fitted on, at most.
+#: Labelled rows that the ensemble is fitted on, at most.
 SAMPLE = 20_000
 #: The share of labelled good rows that the forest's threshold may reject.
 REJECTED_GOOD = 0.001
@@ -32,12 +34,15 @@ class IsolationForest:
 
     Cuts fall anywhere in a node's box, also where there are no rows, so that a value
     that usual rows never take ends in an empty leaf near the root.  Trees are arrays,
-    scored in bulk.
+    scored in bulk.  ``drawn``: the rows of each tree, where they are drawn already.
     """
 
-    def __init__(self, rows: np.ndarray, low: np.ndarray | None = None, high: np.ndarray | None = None, trees: int = 200, sample: int = 256, seed: int = 7):
-        rng = np.random.default_rng(seed)
-        size = min(sample, len(rows))
+    def __init__(
+        self, rows: np.ndarray, low: np.ndarray | None = None, high: np.ndarray | None = None, trees: int = 200, sample: int = 256, seed: int = 7,
+        drawn: np.ndarray | None = None,
+    ):
+        drawn, rng = self.draw(len(rows), trees, sample, seed) if drawn is None else drawn, np.random.default_rng([seed, 1])
+        trees, size = drawn.shape
         low, high = (rows.min(0) if low is None else low).astype(float), (rows.max(0) if high is None else high).astype(float)
         self.depth = max(1, int(np.ceil(np.log2(max(2, size)))))
         self.norm = self._average(size)
@@ -46,7 +51,13 @@ class IsolationForest:
         self.cut = np.zeros((trees, nodes))
         self.path = np.zeros((trees, nodes))
         for t in range(trees):
-            self._grow(t, 0, rows[rng.choice(len(rows), size, replace=False)], 0, low, high, rng)
+            self._grow(t, 0, rows[drawn[t]], 0, low, high, rng)
+
+    @staticmethod
+    def draw(n: int, trees: int = 200, sample: int = 256, seed: int = 7) -> np.ndarray:
+        """The rows of each tree, out of n: every tree draws from all of them."""
+        rng = np.random.default_rng(seed)
+        return np.stack([rng.choice(n, min(sample, n), replace=False) for _ in range(trees)])
 
     @staticmethod
     def _average(n: int) -> float:
@@ -78,68 +89,152 @@ class IsolationForest:
         return np.power(2.0, -total / len(self.feature) / max(self.norm, 1e-9))
 
 
+class LabelledArrays:
+    """Labelled rows in memory, for ``QualityRules``."""
+
+    def __init__(self, features: np.ndarray, labels: np.ndarray):
+        self.features, self.good = features, features[labels == 1]
+        self.counts = len(labels), len(self.good), int((labels == 0).sum())
+
+    def extremes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Least and most of each feature."""
+        return self.features.min(0), self.features.max(0)
+
+    def ordered(self, places: np.ndarray) -> np.ndarray:
+        """Each feature's values of good rows at ``places`` of its own order."""
+        return np.sort(self.good, axis=0)[places]
+
+    def rows(self, places: np.ndarray) -> np.ndarray:
+        """The good rows at ``places``, which ascend."""
+        return self.good[places]
+
+    def score_at(self, model: QualityRules, place: int) -> float:
+        """The score of a good row at ``place`` in the order of scores."""
+        return float(np.sort(model.score(self.good))[place])
+
+
+class LabelledTable:
+    """The same of a table (doc_id, quality, FEATURES) of any size, good rows in the order of doc_id."""
+
+    def __init__(self, table: DataFrame, scratch: Scratch):
+        self.scratch, self.good = scratch, table.filter(F.col("quality") == 1)
+        bounds = [f(c) for f in (F.min, F.max) for c in FEATURES]
+        *counts, self._bounds = table.agg(F.count("*"), F.count_if(F.col("quality") == 1), F.count_if(F.col("quality") == 0), F.array(*bounds)).first()
+        self.counts = tuple(counts)
+
+    def extremes(self) -> tuple[np.ndarray, np.ndarray]:
+        low, high = np.array(self._bounds).reshape(2, -1)
+        return low, high
+
+    def ordered(self, places: np.ndarray) -> np.ndarray:
+        n, k = self.counts[1], len(FEATURES)
+        wanted = np.unique((np.arange(k) * n + places[:, None]).ravel())
+        values = self.good.select(F.posexplode(F.array(*FEATURES)).alias("feature", "value"))
+        found = at_places(values, wanted, n * k, self.scratch)["value"].to_numpy()
+        return found[np.searchsorted(wanted, np.arange(k) * n + places[:, None])]
+
+    def rows(self, places: np.ndarray) -> np.ndarray:
+        return at_places(self.good.select("doc_id", *FEATURES), places, self.counts[1], self.scratch)[FEATURES].to_numpy(float)
+
+    def score_at(self, model: QualityRules, place: int) -> float:
+        scores = self.good.select(anomaly(model).alias("score"))
+        return float(at_places(scores, np.array([place]), self.counts[1], self.scratch)["score"].iloc[0])
+
+
 class QualityRules:
     """The forest and its threshold, fitted on labelled rows (1: good)."""
 
     def __init__(self, features: np.ndarray, labels: np.ndarray, failed: np.ndarray, **forest):
-        features, labels = features[~failed], labels[~failed]  # the base rules have seen to the others
+        self._fit(LabelledArrays(features[~failed], labels[~failed]), **forest)  # the base rules have seen to the others
+
+    @classmethod
+    def of(cls, rows: LabelledTable, **forest) -> QualityRules:
+        """Fitted on a table of the rows that the base rules leave."""
+        model = cls.__new__(cls)
+        model._fit(rows, **forest)
+        return model
+
+    def _fit(self, rows: LabelledArrays | LabelledTable, **forest) -> None:
         self.forest, self.threshold = None, np.inf
-        if len(features) >= 8 and (labels == 1).any() and (labels == 0).any():
-            # Good rows set what is usual, all rows the box; the threshold leaves all but REJECTED_GOOD of the good.
-            rows = self._scaled(features, fit=features[labels == 1])
-            self.forest = IsolationForest(rows[labels == 1], rows.min(0), rows.max(0), **forest)
-            scores = self.forest.score(rows)
-            good = np.sort(scores[labels == 1])
-            self.threshold = good[min(len(good) - 1, int(np.ceil(len(good) * (1 - REJECTED_GOOD))))] + 1e-9
-
-    def _scaled(self, rows: np.ndarray, fit: np.ndarray | None = None) -> np.ndarray:
+        n, n_good, n_bad = rows.counts
+        if n < 8 or not n_good or not n_bad:
+            return
+        # Good rows set what is usual, all rows the box; the threshold leaves all but REJECTED_GOOD of the good.
+        at = np.array([0.01, 0.25, 0.75, 0.99]) * (n_good - 1)
+        below = at.astype(np.int64)
+        left, right = np.split(rows.ordered(np.concatenate([below, np.minimum(below + 1, n_good - 1)])), 2)
+        first, self.low, self.high, last = left + (right - left) * (at - below)[:, None]
+        self.width = np.maximum(last - first, 1e-3)
+        box = self._scaled(np.array(rows.extremes()))
+        drawn = IsolationForest.draw(n_good, **forest)
+        places = np.unique(drawn)
+        self.forest = IsolationForest(self._scaled(rows.rows(places)), box.min(0), box.max(0), drawn=np.searchsorted(places, drawn), **forest)
+        self.threshold = rows.score_at(self, min(n_good - 1, int(np.ceil(n_good * (1 - REJECTED_GOOD))))) + 1e-9
+
+    def _scaled(self, rows: np.ndarray) -> np.ndarray:
         """Distance of each feature from the good rows' middle half, in its widths and by logarithm, each side by itself."""
-        if fit is not None:
-            self.low, self.high = np.quantile(fit, [0.25, 0.75], axis=0)
-            self.width = np.maximum(np.quantile(fit, 0.99, axis=0) - np.quantile(fit, 0.01, axis=0), 1e-3)
-            return self._scaled(rows)
         return np.log1p(np.clip(np.hstack([(rows - self.high) / self.width, (self.low - rows) / self.width]), 0, 20))
 
     def score(self, rows: np.ndarray) -> np.ndarray:
         return np.zeros(len(rows)) if self.forest is None else self.forest.score(self._scaled(rows))
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+def base_failed(of: str = "") -> Column:
+    return (F.col(of + "n_words") < 10) | (100 * F.col(of + "n_repeat_words") > 20 * F.col(of + "n_words"))
 
 
-def fit_rules(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, keep_row: Column | None = None) -> QualityRules:
-    """The forest and its threshold from at most ``sample`` labelled rows; ``keep_row``: labels that it may learn from."""
-    fitted = with_stats(labelled_sample(docs, labels, "quality", sample, keep_row=keep_row), "doc_id", "quality").withColumn("base_failed", base_failed()).toPandas()
-    fitted = fitted.sort_values("doc_id", kind="stable")
-    return QualityRules(fitted[FEATURES].to_numpy(float), fitted["quality"].to_numpy(), fitted["base_failed"].to_numpy(bool))
+def anomaly(model: QualityRules, of: str = "") -> Column:
+    """The model's score of the features beside, or of those within a struct."""
+
+    @F.arrow_udf("double")
+    def score(*features):
+        return pa.array(model.score(np.column_stack([x.to_numpy(zero_copy_only=False) for x in features])))
 
+    return score(*[of + c for c in FEATURES])
 
-def quality_rules(docs: DataFrame, labels: DataFrame, *keep: str, sample: int = SAMPLE, keep_row: Column | None = None) -> DataFrame:
-    """The columns ``keep``, the counts, base_failed, anomaly (double) and kept of every document."""
-    model = fit_rules(docs, labels, sample=sample, keep_row=keep_row)
+
+def fit_rules(stats: DataFrame, labels: DataFrame, scratch: Scratch, *, keep_row: Column | None = None) -> QualityRules:
+    """The forest and its threshold from all labelled rows of ``stats`` (doc_id, counts, features); ``keep_row``: labels that it may learn from."""
+    left = stats.filter(~base_failed()).select("doc_id", *FEATURES).join(labelled(labels, "quality", keep_row=keep_row), "doc_id")
+    return QualityRules.of(LabelledTable(scratch.write(left, "labelled"), scratch))
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, *keep: str, keep_row: Column | None = None) -> DataFrame:
+    """The columns ``keep``, the counts, base_failed, anomaly (double) and kept of every document, whose text is measured once."""
+    scratch = Scratch(docs.sparkSession, "rules")
+    stats = scratch.write(with_stats(docs, *dict.fromkeys([*keep, "doc_id"])), "stats")
+    model = fit_rules(stats, labels, scratch, keep_row=keep_row)
+    scratch.drop_but(stats)
     return (
-        with_stats(docs, *keep, more="anomaly", derive=lambda _, features: model.score(features))
+        stats.withColumn("anomaly", anomaly(model))
         .withColumn("base_failed", base_failed())
         .withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") <= F.lit(float(model.threshold))))
         .select(*keep, *COUNTS, "anomaly", "base_failed", "kept")
     )
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that ``quality_rules`` keeps; only texts go to Python."""
-    model = fit_rules(docs, labels, sample=sample)
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``quality_rules`` keeps; only texts go to Python, once.
+
+    It reads a table of the rows and their statistics, for ``Scratch.drop`` once its own are written.
+    """
+    scratch = Scratch(docs.sparkSession, "good")
     bound_batches(docs.sparkSession)
+    names = [*COUNTS, *FEATURES]
 
-    @F.arrow_udf("boolean")
-    def good(texts):
+    @F.arrow_udf(", ".join(f"{c} {'long' if c in COUNTS else 'double'}" for c in names))
+    def measure(texts):
         counts, features = measured([x or "" for x in texts.to_pylist()])
-        n, repeated = counts[:, COUNTS.index("n_words")], counts[:, COUNTS.index("n_repeat_words")]
-        out = ~((n < 10) | (100 * repeated > 20 * n)) & (model.score(features) <= model.threshold)
         release()
-        return pa.array(out)
-
-    return docs.filter(good("text"))
+        return pa.StructArray.from_arrays([pa.array(x) for x in (*counts.T, *features.T)], names)
+
+    rows = scratch.write(docs.withColumn("measured_text", measure("text")), "measured")
+    model = fit_rules(rows.select("doc_id", "measured_text.*"), labels, scratch)
+    scratch.drop_but(rows)
+    of = "measured_text."
+    out = rows.filter(~base_failed(of)).filter(anomaly(model, of) <= F.lit(float(model.threshold))).drop("measured_text")
+    out._scratch_path = rows._scratch_path
+    return out
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

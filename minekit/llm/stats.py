@@ -6,15 +6,16 @@ Every statistic of null or empty text is 0.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from minekit.llm.common import WORD, map_arrow, need, texts_of
+from minekit.llm.common import WORD, Scratch, map_arrow, need, texts_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -85,37 +86,78 @@ def measured(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.array([x[0] for x in rows], np.int64).reshape(-1, len(COUNTS)), np.array([x[1] for x in rows], float).reshape(-1, len(FEATURES))
 
 
-def with_stats(docs: DataFrame, *keep: str, more: str = "", derive: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """The columns ``keep``, the counts (long) and the features (double) of every text.
-
-    With ``derive``, instead of the features a double column ``more`` that it makes of
-    counts and features, in the same Python pass.
-    """
+def with_stats(docs: DataFrame, *keep: str) -> DataFrame:
+    """The columns ``keep``, the counts (long) and the features (double) of every text."""
     chosen = need(docs, *dict.fromkeys([*keep, "text"]))
-    doubles = [more] if derive else FEATURES
     schema = T.StructType(
-        [chosen.schema[c] for c in keep] + [T.StructField(c, T.LongType()) for c in COUNTS] + [T.StructField(c, T.DoubleType()) for c in doubles]
+        [chosen.schema[c] for c in keep] + [T.StructField(c, T.LongType()) for c in COUNTS] + [T.StructField(c, T.DoubleType()) for c in FEATURES]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, features = measured(texts_of(batch))
-            if derive:
-                features = np.asarray(derive(counts, features), float).reshape(-1, 1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in keep] + [pa.array(counts[:, k]) for k in range(len(COUNTS))] + [pa.array(features[:, k]) for k in range(len(doubles))],
-                names=[*keep, *COUNTS, *doubles],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(x) for x in (*counts.T, *features.T)], names=[*keep, *COUNTS, *FEATURES])
 
     return map_arrow(chosen, run, schema)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, *, keep_row=None) -> DataFrame:
-    """(doc_id, text, label): at most ``rows`` labelled documents, those of the smallest hash of doc_id."""
+#: Rows that one task of ``at_places`` orders, about.
+RANGE_ROWS = 1 << 18
+
+
+def at_places(rows: DataFrame, places: np.ndarray, total: int, scratch: Scratch) -> pd.DataFrame:
+    """The rows at ``places`` (from 0, ascending) of all ``total`` rows in the order of their columns.
+
+    Equal rows are counted before they are ordered, and ranges of the order are sorted each
+    by itself; only the rows asked for and a row for each range come to the driver.
+    """
+    names = rows.columns
+    counted = rows.groupBy(*names).agg(F.count("*").alias("copies"))
+    n = -(-total // RANGE_ROWS)
+    schema = T.StructType([*counted.schema.fields, T.StructField("start", T.LongType()), T.StructField("part", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, start = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            copies = batch.column("copies").to_numpy()
+            ends = start + np.cumsum(copies)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends - copies), pa.array(np.full(len(copies), part, np.int32))], names=schema.names)
+            start = int(ends[-1])
+
+    made = scratch.write(map_arrow(counted.repartitionByRange(n, *names).sortWithinPartitions(*names), run, schema), "ordered")
+    base, before = {}, 0
+    for part, end in sorted(made.groupBy("part").agg(F.max(F.col("start") + F.col("copies"))).collect()):
+        base[part] = before
+        before += end
+
+    def hit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start = batch.column("start").to_numpy() + np.array([base[x] for x in batch.column("part").to_pylist()])
+            first, beyond = np.searchsorted(places, start), np.searchsorted(places, start + batch.column("copies").to_numpy())
+            times = np.maximum(beyond - first, 0)
+            at = np.repeat(np.arange(len(times)), times)
+            if len(at):
+                which = np.repeat(first, times) + np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at)) for c in names), pa.array(places[which])], names=[*names, "place"])
+
+    found = map_arrow(made, hit, T.StructType([*(made.schema[c] for c in names), T.StructField("place", T.LongType())])).toPandas()
+    scratch.drop(made)
+    return found.sort_values("place").drop(columns="place")
+
+
+def labelled(labels: DataFrame, label: str, *, keep_row=None) -> DataFrame:
+    """(doc_id, label): a row for each document with a label."""
     chosen = need(labels, "doc_id", label).filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     if keep_row is not None:
         chosen = chosen.filter(keep_row)
-    chosen = chosen.groupBy("doc_id").agg(F.max(label).alias(label)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return chosen.groupBy("doc_id").agg(F.max(label).alias(label))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, *, keep_row=None) -> DataFrame:
+    """(doc_id, text, label): at most ``rows`` labelled documents, those of the smallest hash of doc_id."""
+    chosen = labelled(labels, label, keep_row=keep_row).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # ``rows`` of two numbers at most: bounded, so no text is shuffled.
     return need(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")
 

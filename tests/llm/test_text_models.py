@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -275,6 +276,49 @@ def test_quality(documents, spark, edge_cases):
     assert quality.quality_rules(docs.limit(0), labels, "doc_id").count() == 0
 
 
+def test_rules_of_a_table_equal_rules_of_arrays(spark, monkeypatch):
+    """More labelled rows than models once took, ordered in several ranges, many values equal."""
+    rng = np.random.default_rng(5)
+    n = 24_000
+    features = rng.gamma(2.0, 1.0, (n, len(stats.FEATURES))).round(3)
+    features[:, 3] = np.where(rng.random(n) < 0.9, 0.0, features[:, 3])
+    good, failed, ids = (rng.random(n) < 0.85).astype(int), rng.random(n) < 0.1, rng.permutation(n)
+    features[good == 0] *= 3
+    columns = {"doc_id": ids, "n_words": np.where(failed, 9, 10), "n_repeat_words": np.zeros(n, int), **dict(zip(stats.FEATURES, features.T, strict=True))}
+    labels = spark.createDataFrame(pd.DataFrame({"doc_id": ids, "quality": good}))
+    monkeypatch.setattr(stats, "RANGE_ROWS", 5_000)
+    got = quality.fit_rules(spark.createDataFrame(pd.DataFrame(columns)), labels, Scratch(spark, "test"))
+    order = np.argsort(ids)
+    want = quality.QualityRules(features[order], good[order], failed[order])
+    assert got.threshold == pytest.approx(want.threshold, abs=1e-12)
+    for name in ("low", "high", "width"):
+        assert getattr(got, name) == pytest.approx(getattr(want, name), abs=1e-12)
+    for name in ("feature", "cut", "path"):
+        assert getattr(got.forest, name) == pytest.approx(getattr(want.forest, name), abs=1e-9)
+    ok = (good == 1) & ~failed
+    assert want.low == pytest.approx(np.quantile(features[ok], 0.25, axis=0)) and want.high == pytest.approx(np.quantile(features[ok], 0.75, axis=0))
+    rejected = (want.score(features[ok]) > want.threshold).sum()
+    assert rejected == ok.sum() - 1 - np.ceil(ok.sum() * (1 - quality.REJECTED_GOOD))
+
+
+def test_threshold_counts_all_labelled_rows(spark, documents):
+    draw = random.Random(4)
+    words = [f"w{k * k}x" for k in range(300)]
+    rows = [(i, " ".join(draw.choices(words, k=draw.randrange(12, 40))) + "!" * draw.randrange(9)) for i in range(24_000)]
+    labels = spark.createDataFrame([(i, int(i % 8 != 0)) for i, _ in rows], "doc_id long, quality int")
+    got = quality.quality_rules(documents(rows), labels, "doc_id").filter("not base_failed and doc_id % 8 != 0").toPandas()
+    scores, place = np.sort(got["anomaly"]), int(np.ceil(len(got) * (1 - quality.REJECTED_GOOD)))
+    assert len(got) == 21_000 and got[got["kept"]]["anomaly"].max() == pytest.approx(scores[place], abs=1e-9) and not got["kept"].all()
+
+
+def test_places_of_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(stats, "RANGE_ROWS", 50)
+    rows = [(k // 40 % 3, float(k % 7 // 3)) for k in range(400)]
+    places = np.array([0, 1, 60, 133, 134, 200, 398, 399])
+    got = stats.at_places(spark.createDataFrame(rows, "a int, b double"), places, len(rows), Scratch(spark, "test"))
+    assert [tuple(x) for x in got.to_numpy().tolist()] == [sorted(rows)[k] for k in places]
+
+
 def test_rules_as_columns_equal_rules_as_arrays(spark):
     rng = np.random.default_rng(2)
     x = rng.random((300, len(stats.FEATURES)))
